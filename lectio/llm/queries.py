@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, terms
+from . import encode, garble, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctiveness(_table(spark, d, "postings"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return garble.find_garbled(_table(spark, d, "crawled")).select("page_id", "field")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garble.find_garbled(_table(spark, d, "crawled"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.mark_terms(_table(spark, d, "postings")).where("mark is not null").select("term", "mark")
 
@@ -34,5 +42,5 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_scores, p6_found, p6_frequencies, p8_ids)
+    f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_restored, p6_found, p6_frequencies, p8_ids)
 }
