@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, garble, terms
+from . import encode, garble, pages, residue, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.standing_lines(_table(spark, d, "crawled"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.most_distinctive(_table(spark, d, "postings"))
 
@@ -29,6 +33,18 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.find_garbled(_table(spark, d, "crawled"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.keyword_pages(_table(spark, d, "crawled"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(_table(spark, d, "crawled")).select("page_id", "field").distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.outside_body(_table(spark, d, "crawled"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.mark_terms(_table(spark, d, "postings")).where("mark is not null").select("term", "mark")
 
@@ -42,5 +58,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_scores, p3_found, p3_restored, p6_found, p6_frequencies, p8_ids)
+    f.__name__: f for f in (
+        p1_found, p2_found, p2_scores, p3_found, p3_restored, p4_found, p5_found, p6_found, p6_frequencies, p7_found, p8_ids,
+    )
 }
