@@ -370,7 +370,7 @@ def body_outside(lines: list[tuple[int, int, int, float, bool]]) -> list[int]:
         for i, b in enumerate(blocks):
             inner = low <= i <= high
             headed = any(x[1] in (L.TITLE, L.LIST) for x in b) or i == low - 1 and any(x[2] >= 3 for x in b)
-            verses = i > high and len(b) >= 2 and all(x[2] >= 4 for x in b)
+            verses = i > high and all(x[2] >= 5 for x in b)
             keep.append(inner or headed or verses)
     for b, k in zip(blocks, keep):
         if not k:

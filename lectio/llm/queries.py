@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encode, garble, pages, residue, terms
+from . import encode, garble, leaks, pages, residue, terms, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(_table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_cut(_table(spark, d, "documents"))
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_by_source(_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p2_found, p2_scores, p3_found, p3_restored, p4_found, p5_found, p6_found, p6_frequencies, p7_found, p8_ids,
+        p1_found, p2_found, p2_scores, p3_found, p3_restored, p4_found, p5_found, p6_found, p6_frequencies, p7_found, p8_ids, p9_found,
+        p10_found, p10_sources,
     )
 }
