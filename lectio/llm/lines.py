@@ -96,7 +96,7 @@ def skeletons(text: str) -> list[str]:
 
 
 #: Marks that open or close a link to another page.
-_ARROW = re.compile(r"^\s*(?:[«‹←►▶→➜»›•▸]|>>|<<|&[lr]aquo;)\s*\S|^\s*�+\s+[A-Z\d]|\S\s*(?:[»›→►▶]|>>)\s*$")
+_ARROW = re.compile(r"^\s*(?:[«‹←►▶→➜»›•▸]|>>|<<|&[lr]aquo;)\s*\S|^\s*�+\s+[A-Z\d]|^\s*�+\s+[A-Z\d]|\S\s*(?:[»›→►▶]|>>)\s*$")
 _LABEL = re.compile(
     r"^(?:previous|next|tags?|related|read also|see also|more|more from|categories|category|keywords?|share|posted in|"
     r"precedent|suivant|etiquettes|mots cles|voir aussi|lire aussi|a lire|vorige|nachste|weiter|zuruck|schlagworte|siehe auch|lesen sie auch|"
