@@ -38,11 +38,8 @@ _JOINED = re.compile(rf"#(?:(?:st|nd|rd|th|er|de|of)?(?:{_MONTH})(?:de)?#|(?:at|
 
 
 class _Table(dict):
-    """Character table for ``str.translate``: small letters, digits as ``#``, line ends kept, all else a space. Letters
-    beyond ASCII lose their accents, or, with ``drop``, vanish."""
-
-    def __init__(self, drop: bool):
-        self.drop = drop
+    """Character table for ``str.translate``: small letters without accents, digits as ``#``, line ends kept, all else a
+    space. On ASCII text, which nearly all lines are made first, ``translate`` needs no look-up a character."""
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
@@ -52,15 +49,19 @@ class _Table(dict):
             out = c
         elif code < 128:
             out = c.lower() if c.isalnum() else " "
-        elif self.drop or unicodedata.combining(c):
-            out = " " if c.isspace() else ""
+        elif unicodedata.combining(c):
+            out = ""
         else:
             out = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if x.isalnum()) if c.isalnum() else " "
         self[code] = out
         return out
 
 
-_ACCENTS, _ASCII = _Table(False), _Table(True)
+_TABLE = _Table()
+#: Letters that no ASCII form keeps: text with them takes the slower table.
+_ASCII_RUN = re.compile(r"[\x00-\x7f]+")
+_OTHER_SCRIPT = re.compile(r"[\u0250-\u02af\u0370-\u1eff\u1f00-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufaff\U00010000-\U0010ffff]")
+_MARKS = {m: " " for m in "’‘“”„«»‹›—–·•…►▶§¶©®°"} | {"ß": "ss", "œ": "oe", "Œ": "oe", "æ": "ae", "Æ": "ae", "ø": "o", "Ø": "o", "ł": "l", "đ": "d"}
 
 
 def site_of(url: Column) -> Column:
@@ -69,9 +70,20 @@ def site_of(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
+def _plain(text: str) -> str:
+    if text.isascii():
+        return text.translate(_TABLE)
+    if _OTHER_SCRIPT.search(_ASCII_RUN.sub("", text)):
+        return text.translate(_TABLE)
+    for mark, to in _MARKS.items():
+        if mark in text:
+            text = text.replace(mark, to)
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().translate(_TABLE)
+
+
 def normals(text: str) -> list[str]:
     """The words of each line of ``text``: small letters without accents, digits as ``#``, single spaces."""
-    return [" ".join(line.split()) for line in text.translate(_ACCENTS).split("\n")]
+    return [" ".join(line.split()) for line in _plain(text).split("\n")]
 
 
 def normal(line: str) -> str:
@@ -79,8 +91,8 @@ def normal(line: str) -> str:
 
 
 @lru_cache(maxsize=100_000)
-def _masked(skeleton: str) -> str:
-    spaced = _NUMBERS.sub("#", _DATE.sub("#", _NUMBERS.sub("#", skeleton)))
+def _masked(words: str) -> str:
+    spaced = _NUMBERS.sub("#", _DATE.sub("#", _NUMBERS.sub("#", words)))
     return _JOINED.sub("#", spaced.replace(" ", ""))
 
 
@@ -88,15 +100,19 @@ def skeletons(text: str) -> list[str]:
     """For each line the form that lines differing only in passing details share: ASCII letters, small and without
     spaces, with numbers and dates as one ``#``. Accented letters and marks drop out, so a copy that lost them to a
     wrong decoding keeps its skeleton. A line with fewer than three ASCII letters keeps its own characters."""
-    out = []
-    for bare, line in zip(text.translate(_ASCII).split("\n"), text.split("\n")):
-        k = _masked(" ".join(bare.split())) if "#" in bare else bare.replace(" ", "")
-        out.append(k if len(k) > 2 else line.strip().casefold())
-    return out
+    return [skeleton(line) for line in text.split("\n")]
+
+
+def skeleton(line: str, norm: str | None = None) -> str:
+    """The same for one line; ``norm``, its normal form, saves work where the line is ASCII."""
+    if norm is None or not line.isascii():
+        norm = " ".join(line.replace("\xa0", " ").encode("ascii", "ignore").decode().translate(_TABLE).split())
+    k = _masked(norm) if "#" in norm else norm.replace(" ", "")
+    return k if len(k) > 2 else line.strip().casefold()
 
 
 #: Marks that open or close a link to another page.
-_ARROW = re.compile(r"^\s*(?:[«‹←►▶→➜»›•▸]|>>|<<|&[lr]aquo;)\s*\S|^\s*�+\s+[A-Z\d]|^\s*�+\s+[A-Z\d]|\S\s*(?:[»›→►▶]|>>)\s*$")
+_ARROW = re.compile(r"^\s*(?:[«‹←►▶→➜»›•▸]|>>|<<|&[lr]aquo;)\s*\S|^\s*�+\s+[A-Z\d]|\S\s*(?:[»›→►▶]|>>)\s*$")
 _LABEL = re.compile(
     r"^(?:previous|next|tags?|related|read also|see also|more|more from|categories|category|keywords?|share|posted in|"
     r"precedent|suivant|etiquettes|mots cles|voir aussi|lire aussi|a lire|vorige|nachste|weiter|zuruck|schlagworte|siehe auch|lesen sie auch|"
@@ -108,6 +124,7 @@ _COUNTED = re.compile(r"\(\d{1,6}\)\s*$")
 _ORDERED = re.compile(r"^\s*\d{1,3}(?:\s{2,}|\t)\S")
 _LIST = re.compile(r"^\s*(?:\d{1,3}[.)]|[-*–—•]|[a-zA-Z][.)]|\([a-zA-Z0-9]{1,3}\))\s+\S")
 _SEPARATED = re.compile(r"\s+(?:[»>›/|·•—–-]|::)\s+|\s{3,}")
+_MARK = re.compile(r"[»>›/|·•—–:-]\s")
 _LEGAL = re.compile(
     r"\ball rights reserved|\btous droits reserves|\balle rechte vorbehalten|\btodos los derechos|^powered by\b|^terms (?:and conditions|of use)|"
     r"^privacy\b|^mentions legales|^datenschutz\b|^aviso legal|^impressum\b"
@@ -141,25 +158,28 @@ def kind(line: str, norm: str, title: str = "") -> int:
     s = line.strip()
     if s[0] in "“«„" and s[1:2].isalpha() and ("”" in s or "»" in s[1:]):
         return PROSE
-    if _ARROW.search(s) or _FILED.search(norm) or _LABEL.search(norm) and _LABELLED.search(s):
+    if (not s.isascii() or ">>" in s or "<<" in s or "&" in s) and _ARROW.search(s):
+        return LINK
+    if _FILED.search(norm) or _LABEL.search(norm) and _LABELLED.search(s):
         return LINK
     if n <= 24:
         if n <= 18 and ("cookie" in norm or "temoins" in norm) and _COOKIE.search(norm) and not norm.startswith("read also what"):
             return COOKIE
         if n <= 16 and ("©" in s or _LEGAL.search(norm)) and not (n > 8 and s[-1] in ".;" and "," in s):
             return LEGAL
-        counted = _COUNTED.search(s)
-        if (counted or _ORDERED.search(line)) and not _END.search(s[: counted.start()].rstrip() if counted else s):
+        counted = _COUNTED.search(s) if s[-1] == ")" else None
+        if (counted or s[0].isdigit() and _ORDERED.search(line)) and not _END.search(s[: counted.start()].rstrip() if counted else s):
             return LINK
         if n <= 8 and _NAV.search(norm):
             return NAV
-    if n <= 30 and not _END.search(s):
+    ended = _END.search(s) is not None
+    if n <= 30 and not ended and ("   " in s or _MARK.search(s)):
         parts = [x for x in _SEPARATED.split(s) if x.strip()]
         if len(parts) >= 3 and len(parts[0].split()) <= 3 and len(parts[1].split()) <= 3:
             return PATH
     if n > 1 and _LIST.search(s):
         return LIST
-    return PROSE if n >= 24 or n >= 5 and _END.search(s) else SHORT
+    return PROSE if n >= 24 or n >= 5 and ended else SHORT
 
 
 def site_lines(text: str) -> list[tuple[int, str]]:

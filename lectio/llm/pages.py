@@ -35,6 +35,10 @@ _LINES = (
 )
 
 
+#: Kinds of lines that link to other pages: their likeness is that of titles, not of standing lines.
+_UNSIGNED = (L.TITLE, L.LINK, L.PATH)
+
+
 class _Signer:
     """MinHash signatures of lines on word shingles, with numbers and names masked, for a whole batch at once."""
 
@@ -128,8 +132,9 @@ def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataF
         signer = _Signer()
         for batch in batches:
             ids, sites, hosted, titles, texts = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            raw: list[str] = []
+            of_page: list[tuple] = []
+            counted: list[int] = []
+            numbers, keys, firsts, kinds, words, points, spams, raw = [], [], [], [], [], [], [], []
             for page, site, host, title, text in zip(ids, sites, hosted, titles, texts):
                 if not text or text.isspace():
                     continue
@@ -137,40 +142,45 @@ def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataF
                 text, _ = repair(text)
                 title = L.normal(repair(title)[0]) if title else ""
                 numbered = L.site_lines(text)
-                norms, skeletons = L.normals(text), L.skeletons(text)
+                norms = L.normals(text)
                 mine = [norms[i] for i, _ in numbered]
-                counts = spam.spam_words([line for _, line in numbered], mine)
-                page_spam = sum(s for _, s in counts)
+                bare = [line for _, line in numbered]
+                counts = spam.spam_words(bare, mine)
                 seen = set()
-                for (i, line), norm, (words, bad) in zip(numbered, mine, counts):
-                    key = digest(skeletons[i])
-                    kind = L.kind(line, norm, title)
-                    points = 0.0
-                    if kind == L.PROSE or kind == L.LIST and words > 4:
-                        points = 1.0 + line.count(",") + min(len(line) / 100, 3.0)
-                    out.append((page, site if host else None, i, key - (1 << 64) if key >> 63 else key, key not in seen, kind, min(words, 32000), points, min(bad, 32000), page_spam, held))
+                for line, norm in zip(bare, mine):
+                    key = digest(L.skeleton(line, norm))
+                    keys.append(key)
+                    firsts.append(key not in seen)
                     seen.add(key)
-                    raw.append(line if kind in (L.PROSE, L.LIST, L.SHORT, L.NAV, L.LEGAL, L.COOKIE) else "")
-            if not out:
+                    k = L.kind(line, norm, title)
+                    kinds.append(k)
+                    points.append(1.0 + line.count(",") + min(len(line) / 100, 3.0) if k <= L.LIST and len(norm) > 20 else 0.0)
+                    raw.append("" if k in _UNSIGNED else line)
+                numbers += [i for i, _ in numbered]
+                words += [n for n, _ in counts]
+                spams += [n for _, n in counts]
+                of_page.append((page, site if host else None, sum(n for _, n in counts), held))
+                counted.append(len(numbered))
+            if not keys:
                 continue
             s1, s2, ok = signer.sign(raw)
-            c = list(zip(*out))
-            none = pa.array(~ok)
+            rows = pa.array(np.repeat(np.arange(len(counted)), counted))
+            c = list(zip(*of_page))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(c[0], pa.int64()),
-                    pa.array(c[1], pa.int64()),
-                    pa.array(c[2], pa.int32()),
-                    pa.array(c[3], pa.int64()),
-                    pa.array(c[4], pa.bool_()),
-                    pa.array(c[5], pa.int8()),
-                    pa.array(c[6], pa.int16()),
-                    pa.array(c[7], pa.float32()),
-                    pa.array(c[8], pa.int16()),
-                    pa.array(c[9], pa.int32()),
-                    pa.array(c[10], pa.bool_()),
-                    pa.array(np.where(ok, s1, 0), pa.int64(), mask=~ok),
-                    pa.array(np.where(ok, s2, 0), pa.int64(), mask=~ok),
+                    pa.array(c[0], pa.int64()).take(rows),
+                    pa.array(c[1], pa.int64()).take(rows),
+                    pa.array(numbers, pa.int32()),
+                    pa.array(np.array(keys, np.uint64).astype(np.int64)),
+                    pa.array(firsts, pa.bool_()),
+                    pa.array(kinds, pa.int8()),
+                    pa.array(np.minimum(words, 32000).astype(np.int16)),
+                    pa.array(points, pa.float32()),
+                    pa.array(np.minimum(spams, 32000).astype(np.int16)),
+                    pa.array(c[2], pa.int32()).take(rows),
+                    pa.array(c[3], pa.bool_()).take(rows),
+                    pa.array(s1, mask=~ok),
+                    pa.array(s2, mask=~ok),
                 ],
                 [f.split()[0] for f in _LINES.split(", ")],
             )
@@ -302,34 +312,40 @@ def outside_body(pages: DataFrame) -> DataFrame:
         .where(F.col("sites") >= EVERYWHERE)
         .select("skeleton", F.lit(True).alias("everywhere"))
     )
+    furniture = (
+        F.coalesce("standing", F.lit(False))
+        | F.col("kind").isin(*L.FURNITURE)
+        | (F.coalesce("everywhere", F.lit(False)) & (F.col("words") <= 6) & (F.col("kind") == L.SHORT))
+    )
     flagged = (
         site.good.select("page_id", "line_no", "site", "skeleton", "kind", "words", "points")
         .join(site.standing_skeletons().withColumn("standing", F.lit(True)), ["site", "skeleton"], "left")
         .join(everywhere, "skeleton", "left")
         .select(
             "page_id",
-            F.struct(
-                "line_no",
-                "kind",
-                "words",
-                "points",
-                (
-                    F.coalesce("standing", F.lit(False))
-                    | F.col("kind").isin(*L.FURNITURE)
-                    | (F.coalesce("everywhere", F.lit(False)) & (F.col("words") <= 6) & F.col("kind").isin(L.SHORT))
-                ).alias("furniture"),
+            (
+                F.shiftleft(F.col("line_no").cast("long"), 32)
+                + F.shiftleft(F.col("kind").cast("long"), 28)
+                + F.shiftleft(furniture.cast("long"), 27)
+                + F.shiftleft(F.least("words", F.lit(4095)).cast("long"), 15)
+                + F.least(F.round(F.col("points") * 10), F.lit(32767)).cast("long")
             ).alias("line"),
         )
     )
     by_page = flagged.groupBy("page_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
+            lists = batch.column(1)
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            packed = np.asarray(lists.flatten())
+            columns = [(packed >> at & mask).tolist() for at, mask in ((32, 0x7FFFFFFF), (28, 15), (15, 4095), (0, 32767), (27, 1))]
             ids, nos = [], []
-            for page, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                outside = body_outside([(x["line_no"], x["kind"], x["words"], x["points"], x["furniture"]) for x in lines])
+            for page, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                outside = body_outside(list(zip(*(c[a:b] for c in columns))))
                 ids += [page] * len(outside)
                 nos += outside
             if ids:
@@ -338,8 +354,8 @@ def outside_body(pages: DataFrame) -> DataFrame:
     return by_page.mapInArrow(run, "page_id long, line_no int").distinct()
 
 
-def body_outside(lines: list[tuple[int, int, int, float, bool]]) -> list[int]:
-    """Numbers of the lines outside the body, from (number, kind, words, points, furniture) in order."""
+def body_outside(lines: list[tuple]) -> list[int]:
+    """Numbers of the lines outside the body, from (number, kind, words, points, furniture) in order of number."""
     blocks: list[list[tuple]] = []
     total = links = 0
     open_block = False

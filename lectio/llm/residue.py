@@ -85,6 +85,7 @@ _ODD = re.compile(r"[^\x00-\x7f]+|\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words of a line that a message or a note of filler may have at most.
 LINE_WORDS = 22
+LINE_CHARS = 180
 
 
 def placeholders(text: str) -> Iterator[re.Match]:
@@ -106,9 +107,9 @@ def placeholders(text: str) -> Iterator[re.Match]:
 _MAY = re.compile(r"\{\{|\{%|<%|\$\{|#\{|%%|__|@@|\[|\$[a-z]|%\(|\{\d|<|&lt;|TODO:|XXX")
 
 
-def lorem_run(text: str, least: int = 6) -> bool:
-    """Whether ``least`` words of Lorem ipsum follow each other, three of them longer than four letters."""
-    low = text.lower()
+def lorem_run(low: str, least: int = 6) -> bool:
+    """Whether ``least`` words of Lorem ipsum follow each other in a text of small letters, three of them longer than
+    four letters."""
     if "dolor" not in low and "tempor" not in low and "labor" not in low and "aliqu" not in low and "veniam" not in low and "elit" not in low:
         return False
     run = long = 0
@@ -126,17 +127,20 @@ def lorem_run(text: str, least: int = 6) -> bool:
 #: A line without any of these (in small letters) is no message, demand or filler: a cheap test before the grammars.
 _HINTS = (
     *"script browser asdf qwert soon blindtext platzhalter remplissage ejemplo relleno prueba placeholder dummy sample filler lltext".split(),
-    *"lorem 40 410 429 50 found encontrada existe gefunden introuvable trouv denied permission denegado verweigert refus expired".split(),
+    *"lorem found encontrada existe gefunden introuvable trouv denied permission denegado verweigert refus expired".split(),
     *"unavailable wrong requests blocked maintenance wartung exception reference database crashed gateway reached error forbidden captcha".split(),
     *("goes here", "go here", "come here", "comes here", "nothing", "faux texte", "on line", "trace", "in time", "connection refused", "looking for"),
 )
 
 
+_CODE = re.compile(r"\b(?:40\d|410|429|50\d)\b")
+
+
 @lru_cache(maxsize=200_000)
 def residue_line(line: str) -> str | None:
     """``filler``, ``error`` or ``scripts`` where a whole line is such; a longer line is prose and never is."""
     low = line.lower()
-    if not any(h in low for h in _HINTS) or len(_WORD.findall(line)) > LINE_WORDS:
+    if not _CODE.search(low) and not any(h in low for h in _HINTS) or len(_WORD.findall(line)) > LINE_WORDS:
         return None
     if _FILLER.search(line):
         return "filler"
@@ -153,10 +157,11 @@ def residue(text: str | None) -> str | None:
         return None
     for _ in placeholders(text):
         return "placeholder"
-    if lorem_run(text):
+    low = text.lower()
+    if lorem_run(low):
         return "filler"
     for line in text.split("\n"):
-        if len(line) < 260 and (kind := residue_line(line.strip())):
+        if len(line) < LINE_CHARS and (kind := residue_line(line.strip())):
             return kind
     return None
 
