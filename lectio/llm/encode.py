@@ -5,7 +5,8 @@ mapped to one character, each token to a piece whose score is its negative rank,
 is split by the tokenizer's own pattern, each pre-token is encoded, and decoding is the inverse mapping.
 
 Null and empty texts give an empty list; whitespace is encoded like any text; a lone surrogate cannot occur in Spark
-strings. Repeated rows are encoded each; an empty table gives an empty table; other columns pass through.
+strings. Repeated rows are encoded each; an empty table gives an empty table; other columns pass through, but one that is
+already named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -130,9 +131,7 @@ def encode_corpus(df: DataFrame, text: str = "text", ids: str = "ids", vocabular
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(build_model(read_vocabulary(vocabulary or default_vocabulary())))
     pattern = pattern or default_pattern()
-    rest = [c for c in df.columns if c != text]
-    if ids in rest:
-        raise ValueError(f"the column {ids} exists; name another")
+    rest = [c for c in df.columns if c not in (text, ids)]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(ids, T.ArrayType(T.IntegerType()), True)])
 
     def run(batches: Iterator) -> Iterator:

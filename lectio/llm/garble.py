@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -30,12 +31,15 @@ SINGLE = ("mac_roman", "cp437", "cp1251", "cp850", "cp1250")
 _WEST = "cp1252"
 #: Smoothing of a character's count, as a share of all characters: a rarer character counts as this frequent.
 RARE = 1e-4
-#: A single-byte mapping must raise the mean pair score by this, alone, or by LEAST beside a strong one in the value.
-ALONE, STRONG, LEAST = 2.4, 3.5, 1.2
+#: A single-byte mapping must raise the mean pair score by this, alone, or by LEAST beside a strong or two sure ones
+#: in the value.
+ALONE, STRONG, LEAST = 2.4, 3.5, 0.4
 #: A UTF-8 mapping may not lower the mean pair score by more than this.
 DROP = 3.6
 #: Each further round of strict UTF-8 decoding is worth this: garbled text that was garbled again is undone wholly.
 DEEPER = 3.0
+#: Taken off where the restored text has a character that the corpus never has.
+UNSEEN = 3.0
 #: A pair below this mutual information adds to the improbability of a segment.
 PROBABLE = 2.5
 
@@ -166,7 +170,7 @@ class PairModel:
                     text = _utf8(text, name if not again else _WEST)
                     if text is None or text == run:
                         break
-                    score = self.mean(left + text + right) + DEEPER * again
+                    score = self.mean(left + text + right) + DEEPER * again - UNSEEN * any(fold(c) not in self.single for c in text)
                     if best is None or score > best[0]:
                         best = (score, text, name)
             if best is not None and variant == run:
@@ -206,7 +210,8 @@ class PairModel:
             if original is not None:
                 found.append((a, b, original, mapping, gain))
         if found:
-            strong = {f[3] for f in found if f[4] >= STRONG}
+            sure = Counter(f[3] for f in found if f[4] >= ALONE)
+            strong = {f[3] for f in found if f[4] >= STRONG or sure[f[3]] > 1}
             found = [f for f in found if f[4] >= ALONE or f[3] in strong]
         if not found:
             return text, lost
@@ -266,15 +271,15 @@ def _west(text: str, wrong: str) -> str | None:
 
 
 def repair_columns(df: DataFrame, columns: Iterable[str], model: PairModel | None = None) -> DataFrame:
-    """``df`` with, for each of ``columns``, the restored text in place and a flag ``<column>_garbled``."""
+    """``df`` with, for each of ``columns``, the restored text in place and a flag ``<column>_garbled``; columns that
+    already have such a name are replaced."""
     import pyspark.sql.types as T
 
     columns = list(columns)
     model = model or PairModel.fit(df, columns)
     shared = df.sparkSession.sparkContext.broadcast(model)
     flags = [f"{c}_garbled" for c in columns]
-    if set(flags) & set(df.columns):
-        raise ValueError(f"rename the columns {set(flags) & set(df.columns)}")
+    df = df.drop(*flags)
     schema = T.StructType([*df.schema.fields, *(T.StructField(f, T.BooleanType()) for f in flags)])
     names = df.columns
 

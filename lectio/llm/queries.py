@@ -26,7 +26,7 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return garble.find_garbled(_table(spark, d, "crawled")).select("page_id", "field")
+    return garble.find_garbled(_table(spark, d, "crawled")).select("page_id", "field").distinct()
 
 
 def p3_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks.find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
