@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from .lines import FUNCTION_WORDS
+from .lines import FUNCTION_WORDS, normal
 
 #: Content words between two occurrences that still count as a short gap.
 WINDOW = 48
@@ -30,10 +30,20 @@ _LINK = re.compile(r"https?://\S+|www\.\S+|(?<!\w)#\w+")
 _PRODUCT = re.compile(
     r"(?i)\b(?:sku|add to cart|(?:in|out of) stock|(?:order|buy) now|auf lager|in den warenkorb|en stock|ajouter au panier|en existencia|anadir al carrito|a.adir al carrito)\b"
 )
+_PAUSE = re.compile(r"[.,;:!?…()]+\s|[“”\[\]]")
 _PARTS = re.compile(r"\s*[/;|,·•>]\s+")
 _SENTENCE = re.compile(r"[.!?;:][\"'”’»)\]]*$|[“”«»;—]|, ")
 
 
+def _content(line: str) -> list[str]:
+    """Content words of a line in order, with "" for function words, numbers and marks that part sentences."""
+    out = []
+    for piece in _PAUSE.split(line):
+        out += ["" if w in FUNCTION_WORDS or w[0] == "#" else w for w in normal(piece).split()]
+        out.append("")
+    return out
+
+
 def autocorrelation(content: list[str]) -> tuple[float, set[tuple[str, str]]]:
     """For content words in order ("" where another word or a line end stands between): the share of neighbouring pairs
     that occur again within a lag of WINDOW words, and the pairs that do so at least three times and mostly."""
@@ -69,10 +79,13 @@ def spam_words(lines: list[str], norms: list[str]) -> list[tuple[int, int]]:
     strong: set[tuple[str, str]] = set()
     content: list[list[str]] = []
     if total >= 12 and len(set().union(*words)) <= VARIED * total:
-        content = [["" if w in FUNCTION_WORDS or w[0] == "#" else w for w in ws] for ws in words]
-        share, pairs = autocorrelation([w for ws in content for w in (*ws, "")])
+        content = [_content(line) for line in lines]
+        share, pairs = autocorrelation([w for cs in content for w in cs])
         if share >= REGULAR:
-            strong = pairs
+            text = " ".join(lines)
+            low = text.lower()
+            named = lambda a, b: text.count(f"{a.capitalize()} {b.capitalize()}") > 0.6 * max(1, low.count(f"{a} {b}"))
+            strong = {p for p in pairs if not named(*p)}  # one person's name in each line of a list is no keyword
     if not strong and all(f > 0.34 * len(ws) for f, ws in zip(functions, words)):
         return [(len(ws), 0) for ws in words]
     out = []
@@ -100,8 +113,8 @@ def spam_words(lines: list[str], norms: list[str]) -> list[tuple[int, int]]:
                     spam = small >= 0.5 * len(raw) or n >= 10 and len(set(ws)) <= 0.75 * n and not _SENTENCE.search(s)
         if not spam and strong:
             cs = content[i]
-            inside = [False] * n
-            for j in range(n - 1):
+            inside = [False] * len(cs)
+            for j in range(len(cs) - 1):
                 if (cs[j], cs[j + 1]) in strong:
                     inside[j] = inside[j + 1] = True
             covered = sum(inside)
