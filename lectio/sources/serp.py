@@ -45,7 +45,8 @@ class _Results(HTMLParser):
         if tag in self._VOID:
             return
         self.depth += 1
-        if tag == "div" and "result" in css:
+        inside = self.open and "result__body" in self.open[-1][1]["class"]
+        if tag == "div" and "result" in css and "result__snippet" not in css and not inside:
             block = {"class": css, "href": "", "any": "", "title": [], "snippet": []}
             self.blocks.append(block)
             self.open.append((self.depth, block))
