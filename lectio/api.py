@@ -26,16 +26,19 @@ class SearchEngine:
     """``SearchEngine.create(spark, path)``. With a path the index is loaded from and flushed to it; as a context manager
     it is flushed at the end."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, k1: float = search.K1, b: float = search.B):
-        self.spark, self.k1, self.b = spark, k1, b
+    #: Tag of the jobs of searches; :meth:`cancel` ends them.
+    TAG = "lectio-search"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, k1: float = search.K1, b: float = search.B, scorer: search.Scorer | None = None):
+        self.spark, self.k1, self.b, self.scorer = spark, k1, b, scorer
         self.store = IndexStore(spark, path) if path else None
         self.clear()
         if self.store:
             self.load()
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str | None = None, k1: float = search.K1, b: float = search.B) -> SearchEngine:
-        return cls(spark, path, k1, b)
+    def create(cls, spark: SparkSession, path: str | None = None, k1: float = search.K1, b: float = search.B, scorer: search.Scorer | None = None) -> SearchEngine:
+        return cls(spark, path, k1, b, scorer)
 
     def __enter__(self) -> SearchEngine:
         return self
@@ -83,13 +86,21 @@ class SearchEngine:
         parsed = parse(query)
         if parsed.is_empty:
             return SearchResult(query, 0, 0.0, self.spark.createDataFrame([], ITEMS))
-        ranked = search.scored(self.postings, self.lengths, self.stats, parsed, self.k1, self.b)
-        if content_type:
-            ranked = ranked.join(self.docs.where(F.col("content_type") == content_type).select("doc_id"), "doc_id", "left_semi")
-        total = ranked.count()
+        self.spark.addTag(self.TAG)
+        try:
+            ranked = search.scored(self.postings, self.lengths, self.stats, parsed, self.k1, self.b, self.scorer)
+            if content_type:
+                ranked = ranked.join(self.docs.where(F.col("content_type") == content_type).select("doc_id"), "doc_id", "left_semi")
+            total = ranked.count()
+        finally:
+            self.spark.removeTag(self.TAG)
         found = search.items(search.top(ranked, top_n, skip), self.docs, parsed)
         return SearchResult(query, total, (time.time() - began) * 1000, found)
 
+    def cancel(self) -> None:
+        """Ends running searches of this session."""
+        self.spark.interruptTag(self.TAG)
+
     def search_many(self, queries: list[tuple[int, str, int]]) -> DataFrame:
         return search.batch(self.postings, self.lengths, self.stats, queries)
 

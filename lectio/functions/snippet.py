@@ -50,6 +50,13 @@ def cut(text: Column, start: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"), n.alias("n"))
 
 
+def escaped(text: Column) -> Column:
+    """Text that a browser shows as it is."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
 def highlight(text: Column, stems: Sequence[str]) -> Column:
     """``text`` with marks around each hit of a stem and the rest of its word; hits may start inside a word."""
     if not stems:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,9 +57,14 @@ def matches(postings: DataFrame, query: ParsedQuery) -> DataFrame:
     return docs.select("doc_id", "tf")
 
 
-def scored(postings: DataFrame, lengths: DataFrame, stats: DataFrame, query: ParsedQuery, k1: float = K1, b: float = B) -> DataFrame:
+#: A ranker: the score of one term from the columns (tf, df, document length, n, average length).
+Scorer = Callable[[Column, Column, Column, Column, Column], Column]
+
+
+def scored(postings: DataFrame, lengths: DataFrame, stats: DataFrame, query: ParsedQuery, k1: float = K1, b: float = B, scorer: Scorer | None = None) -> DataFrame:
     """(doc_id, score) of all matches; the sum runs over query terms with repeats. Scores are rounded to 6 digits, so that
-    ranks do not hang on the order of a sum."""
+    ranks do not hang on the order of a sum. ``scorer`` takes the place of BM25."""
+    score_of = scorer or (lambda tf, df, dl, n, avgdl: bm25(tf, df, dl, n, avgdl, k1, b))
     counts = Counter(query.terms)
     terms = sorted(counts)
     df = {r.term: r.df for r in postings_of(postings, terms).groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most one row a query term
@@ -69,7 +74,7 @@ def scored(postings: DataFrame, lengths: DataFrame, stats: DataFrame, query: Par
     for t in terms:
         if df.get(t):
             tf = F.coalesce(F.col("tf")[t], F.lit(0)).cast("double")
-            score = score + counts[t] * bm25(tf, F.lit(float(df[t])), F.col("doc_len").cast("double"), n, avgdl, k1, b)
+            score = score + counts[t] * score_of(tf, F.lit(float(df[t])), F.col("doc_len").cast("double"), n, avgdl)
     return hits.select("doc_id", F.round(score, 6).alias("score"))
 
 

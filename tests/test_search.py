@@ -143,3 +143,14 @@ def test_snippets(spark):
     long = " ".join(f"w{i:03}" for i in range(200)) + " natural law " + " ".join(f"v{i:03}" for i in range(100))
     s = spark.createDataFrame([(long,)], "t string").select(snippet(F.col("t"), ["natur", "law"]).alias("s")).first().s
     assert s.startswith("...w153 w154 w") and s.endswith("<mark>natural</mark> <mark>law</mark> v000 v001 v002 v003 v004...")
+
+
+def test_another_scorer_and_escaping(spark, docs):
+    from lectio.functions.snippet import escaped
+
+    e = SearchEngine.create(spark, scorer=lambda tf, df, dl, n, avgdl: tf)
+    e.index(docs)
+    got = {r.title: r.score for r in e.search("grace").items.collect()}
+    assert got == {"Title 2": 2.0, "Title 6": 2.0}
+    e.cancel()
+    assert spark.createDataFrame([("<a & b>",)], "t string").select(escaped(F.col("t")).alias("x")).first().x == "&lt;a &amp; b&gt;"
