@@ -286,12 +286,24 @@ def keyword_pages(pages: DataFrame) -> DataFrame:
     return Site(pages).spam
 
 
-def without_standing_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, text): each page's text without its site's standing lines; pages without any keep their text."""
-    drop = standing_lines(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
+def drop_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page_id, text): each page's text without the lines (page_id, line_no); a page of which none are named keeps its
+    text, null stays null. The numbers of a page are gathered (at most its lines) and joined; texts move once."""
+    drop = lines.groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
     joined = pages.select("page_id", "text_content").join(drop, "page_id", "left")
-    kept = F.filter(F.split("text_content", "\n"), lambda x, i: ~F.array_contains(F.coalesce("drop", F.array().cast("array<int>")), i))
-    return joined.select("page_id", F.array_join(kept, "\n").alias("text"))
+    kept = F.filter(F.split("text_content", "\n"), lambda x, i: ~F.array_contains("drop", i))
+    return joined.select("page_id", F.when(F.col("drop").isNull(), F.col("text_content")).otherwise(F.array_join(kept, "\n")).alias("text"))
+
+
+def without_standing_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, text): each page's text without its site's standing lines."""
+    return drop_lines(pages, standing_lines(pages))
+
+
+def body(pages: DataFrame) -> DataFrame:
+    """(page_id, text): the article of each page alone; pages that are spam or residue keep their text, as
+    :func:`outside_body` names none of their lines."""
+    return drop_lines(pages, outside_body(pages))
 
 
 def outside_body(pages: DataFrame) -> DataFrame:

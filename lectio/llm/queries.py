@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.standing_lines(_table(spark, d, "crawled"))
 
 
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return pages.without_standing_lines(_table(spark, d, "crawled"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.most_distinctive(_table(spark, d, "postings"))
 
@@ -45,6 +49,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.outside_body(_table(spark, d, "crawled"))
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    return pages.body(_table(spark, d, "crawled"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.mark_terms(_table(spark, d, "postings")).where("mark is not null").select("term", "mark")
 
@@ -71,7 +79,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p2_found, p2_scores, p3_found, p3_restored, p4_found, p5_found, p6_found, p6_frequencies, p7_found, p8_ids, p9_found,
+        p1_found, p1_texts, p2_found, p2_scores, p3_found, p3_restored, p4_found, p5_found, p6_found, p6_frequencies, p7_found, p7_texts, p8_ids, p9_found,
         p10_found, p10_sources,
     )
 }

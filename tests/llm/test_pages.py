@@ -116,3 +116,9 @@ def test_texts_without_standing_lines(spark):
     df = table(spark, [page(i, "a.example") for i in range(8)])
     got = {r.page_id: r.text for r in pages.without_standing_lines(df).collect()}
     assert len(got) == 8 and all("cookies" not in t and "On " in t for t in got.values())
+
+
+def test_texts_of_bodies(spark):
+    rows = [page(i, "a.example") for i in range(8)] + [(90, "https://a.example/n", None, None, None, None, None, None, None)]
+    got = {r.page_id: r.text for r in pages.body(table(spark, rows)).collect()}
+    assert got[90] is None and all(got[i].startswith("On ") or got[i].startswith("\r\nOn ") for i in range(8)) and not any("Next" in (t or "") for t in got.values())
