@@ -81,7 +81,7 @@ def count_pairs(df: DataFrame, columns: Iterable[str]) -> DataFrame:
                 known[code] = code if 0xD800 <= code < 0xE000 else ord(fold(chr(code)))
             return known[code]
 
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             for name in columns:
                 texts = [t for t in batch.column(name).to_pylist() if t]
                 if not texts:

@@ -26,6 +26,8 @@ STANDING = 8
 EVERYWHERE = 8
 #: Share of the words (without furniture) that must be spam.
 SPAM_SHARE, SPAM_WORDS = 0.5, 12
+#: Pages that a worker handles at once; it bounds memory, not results.
+PART = 1000
 #: MinHash: words of a shingle, hashes, and how many of them must agree for a similarity of 0.8 or more.
 SHINGLE, HASHES, AGREE = 5, 8, 7
 
@@ -58,36 +60,42 @@ class _Signer:
 
     def _word(self, w: str, first: bool) -> int:
         memory = self.first if first else self.other
-        if len(memory) > 500_000:
-            memory.clear()
-        low = "".join(c for c in w.lower() if c.isascii() and c.isalnum())
-        if any(c.isdigit() for c in w):
-            code = self.NUMBER
-        elif not first and w[:1].isupper():
-            code = self.NAME
-        else:
-            code = self.hash(low) | 8
-        memory[w] = code
+        code = memory.get(w)
+        if code is None:
+            if len(memory) > 500_000:
+                memory.clear()
+            if any(c.isdigit() for c in w):
+                code = self.NUMBER
+            elif not first and w[:1].isupper():
+                code = self.NAME
+            else:
+                code = self.hash("".join(c for c in w.lower() if c.isascii() and c.isalnum())) | 8
+            memory[w] = code
         return code
 
     def sign(self, lines: list[str]) -> tuple:
         """Two 64-bit words of four 16-bit minima for each line, and whether it has a signature: lines of under SHINGLE
-        words, or mostly of names, have none."""
+        words, or mostly of names, have none. Words are split and numbered natively; only distinct words are hashed here."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         np = self.np
-        flat: list[int] = []
-        lengths = np.empty(len(lines), np.int64)
-        first, other, word = self.first.get, self.other.get, self._word
-        for i, line in enumerate(lines):
-            ws = line.split() if not line.isupper() else line.lower().split()
-            codes = [other(w) or word(w, False) for w in ws]
-            if ws:
-                codes[0] = first(ws[0]) or word(ws[0], True)
-            flat += codes
-            lengths[i] = len(codes)
         s1, s2, ok = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), np.zeros(len(lines), bool)
-        if not flat:
+        text = pc.utf8_trim_whitespace(pa.array([x.lower() if x.isupper() else x for x in lines], pa.string()))
+        lists = pc.utf8_split_whitespace(text)
+        lengths = np.where(np.asarray(pc.utf8_length(text)) > 0, np.asarray(pc.list_value_length(lists)), 0)
+        flat = lists.flatten()
+        flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+        if not len(flat):
             return s1, s2, ok
-        tokens = np.array(flat, np.uint64)
+        number = np.asarray(flat.indices)
+        distinct = flat.dictionary.to_pylist()
+        tokens = np.array([self._word(w, False) for w in distinct], np.uint64)[number]
+        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        opening = np.unique(number[starts])
+        code_first = np.zeros(len(distinct), np.uint64)
+        code_first[opening] = [self._word(distinct[i], True) for i in opening.tolist()]
+        tokens[starts] = code_first[number[starts]]
         line_of = np.repeat(np.arange(len(lines)), lengths)
         name = tokens == self.NAME
         again = np.zeros(len(tokens), bool)
@@ -130,7 +138,7 @@ def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataF
         digest = xxhash.xxh64_intdigest
         repair = shared.value.repair
         signer = _Signer()
-        for batch in batches:
+        for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
             ids, sites, hosted, titles, texts = (c.to_pylist() for c in batch.columns)
             of_page: list[tuple] = []
             counted: list[int] = []

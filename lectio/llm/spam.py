@@ -79,8 +79,11 @@ def spam_words(lines: list[str], norms: list[str]) -> list[tuple[int, int]]:
     strong: set[tuple[str, str]] = set()
     content: list[list[str]] = []
     if total >= 12 and len(set().union(*words)) <= VARIED * total:
-        content = [_content(line) for line in lines]
-        share, pairs = autocorrelation([w for cs in content for w in cs])
+        rough = [w for ws in words for w in (*("" if w in FUNCTION_WORDS or w[0] == "#" else w for w in ws), "")]
+        share, pairs = autocorrelation(rough)
+        if share >= REGULAR:  # marks only take pairs away, so they are looked at for such pages alone
+            content = [_content(line) for line in lines]
+            share, pairs = autocorrelation([w for cs in content for w in cs])
         if share >= REGULAR:
             text = " ".join(lines)
             low = text.lower()
