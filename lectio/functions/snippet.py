@@ -17,22 +17,34 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _hits(low: Column, stem: str) -> Column:
+    """Starts (from 0) of all hits of ``stem``, overlapping ones too: the text is split before each, once."""
+    pieces = F.split(low, f"(?={re.escape(stem)})")
+    begin = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        at = F.when(piece.startswith(stem), F.concat(acc["at"], F.array(acc["n"]))).otherwise(acc["at"])
+        return F.struct(at.alias("at"), (acc["n"] + F.length(piece)).alias("n"))
+
+    return F.aggregate(pieces, begin, add, lambda acc: acc["at"])
+
+
 def window_start(text: Column, stems: Sequence[str]) -> Column:
     """Start (from 0) of the first best window: distinct stems count 1000, hits 1; null where nothing hits. Hits may
     overlap; a stem given twice counts as two."""
-    low = F.lower(text)
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(STEP))
 
-    def worth(p: Column) -> Column:
-        total = F.lit(0)
-        for t in stems:
-            part = F.substring(low, p + 1, F.lit(WINDOW + len(t) - 1))
-            hits = F.regexp_count(part, F.lit(f"(?={re.escape(t)})"))
-            total = total + hits + F.when(hits > 0, 1000).otherwise(0)
-        return total
+    def best(hits: Column) -> Column:
+        def worth(p: Column) -> Column:
+            counts = F.transform(hits, lambda h: F.size(F.filter(h, lambda x: (x >= p) & (x < p + WINDOW))))
+            return F.aggregate(counts, F.lit(0), lambda total, c: total + c + F.when(c > 0, 1000).otherwise(0))
 
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(STEP))
-    scores = F.transform(starts, worth)
-    return _let(scores, lambda s: F.when(F.array_max(s) > 0, (F.array_position(s, F.array_max(s)) - 1).cast("int") * STEP))
+        def first(s: Column) -> Column:
+            return F.when(F.array_max(s) > 0, (F.array_position(s, F.array_max(s)) - 1).cast("int") * STEP)
+
+        return _let(F.transform(starts, worth), first)
+
+    return _let(F.lower(text), lambda low: _let(F.array(*(_hits(low, t) for t in stems)), best))
 
 
 def cut(text: Column, start: Column) -> Column:

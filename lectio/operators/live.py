@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
@@ -30,29 +31,51 @@ def fetched(discovery: DataFrame, pages: DataFrame) -> DataFrame:
     return discovery.join(first, F.lower(discovery.url) == first["_url"]).drop("_url", "page_id")
 
 
+def _counts(text, names: list[str]):
+    """struct(dl, tf): kept tokens of a text, and how often each of the stems ``names`` occurs, in one pass over the row.
+    A token can only have a stem if it begins with all of the stem but its last four letters (no suffix is replaced by a
+    longer one), so the stemmer sees few tokens."""
+
+    def of(tokens):
+        if not names:
+            return F.struct(F.size(tokens).alias("dl"), F.array().cast("array<int>").alias("tf"))
+        begins = [n[: max(1, len(n) - 4)] for n in names]
+        near = F.filter(tokens, lambda t: functools.reduce(lambda x, y: x | y, (t.startswith(p) for p in sorted(set(begins)))))
+        return F.struct(F.size(tokens).alias("dl"), F.transform(F.array(F.transform(near, analysis.stem)), lambda x: _tf(x, names))[0].alias("tf"))
+
+    return F.transform(F.array(analysis.raw_tokens(text)), of)[0]
+
+
+def _tf(stems, names: list[str]):
+    return F.array(*(F.size(F.filter(stems, lambda s: s == n)) for n in names))
+
+
+def title_hits(title_terms, terms: list[str]):
+    """How many of the query's terms, with repeats, the title has; the title's terms are worked out once a row."""
+    if not terms:
+        return F.lit(0)
+    wanted = F.array(*(F.lit(t) for t in terms))
+    return F.transform(F.array(title_terms), lambda held: F.size(F.filter(wanted, lambda t: F.array_contains(held, t))))[0]
+
+
 def ranked(pages: DataFrame, query: str, domains: tuple[str, ...] = urls.SCHOLARLY_DOMAINS, k1: float = K1, b: float = B) -> DataFrame:
     """Every page with its score, zero included: BM25 over these pages only, times boosts for title words and preferred
     domains. The query language does not apply: all tokens of the text count."""
     terms = tokenize(query)
     counts = Counter(terms)
-    tokens = analysis.exploded(pages, "pos", "text_content").withColumnRenamed("token", "tok") if "pos" not in pages.columns else analysis.exploded(
-        pages.withColumnRenamed("pos", "hit"), "hit", "text_content"
-    )
-    wanted = analysis.stem_vocabulary(tokens).where(F.col("term").isin(*counts) if counts else F.lit(False))
-    tf = tokens.join(wanted, "token").groupBy("hit", "term").agg(F.count("*").alias("tf"))
-    by_page = tf.groupBy("hit").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))
-    df = {r.term: r.df for r in tf.groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most one row a query term
-    lengths = pages.select(F.col("pos").alias("hit"), F.size(analysis.raw_tokens(F.col("text_content"))).alias("dl"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    rows = pages.withColumnRenamed("pos", "hit").join(lengths, "hit").join(by_page, "hit", "left")
+    names = sorted(counts)
+    rows = pages.withColumnRenamed("pos", "hit").withColumn("seen", _counts(F.col("text_content"), names))
+    one = F.lit(1.0)
+    sums = [F.sum((F.col("seen.tf")[i] > 0).cast("double")) for i in range(len(names))]
+    stats = rows.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("seen.dl"), F.lit(0.0)).alias("avgdl"), F.array(F.lit(0.0), *(F.coalesce(x, F.lit(0.0)) for x in sums)).alias("df")).first()
     score = F.lit(0.0)
-    for t, c in sorted(counts.items()):
-        if df.get(t):
-            score = score + c * bm25(F.coalesce(F.col("tf")[t], F.lit(0)).cast("double"), F.lit(float(df[t])), F.col("dl").cast("double"), n, avgdl, k1, b)
+    for i, t in enumerate(names):
+        if stats.df[i + 1]:
+            tf = F.col("seen.tf")[i].cast("double")
+            score = score + counts[t] * bm25(tf, one * stats.df[i + 1], F.col("seen.dl").cast("double"), one * stats.n, one * stats.avgdl, k1, b)
     shown = F.when(F.trim(F.coalesce("page_title", F.lit(""))) != "", F.col("page_title")).otherwise(F.col("title"))
     title_terms = analysis.tokenize(F.coalesce(shown, F.lit("")))
-    hits = F.size(F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.array_contains(title_terms, t))) if terms else F.lit(0)
+    hits = title_hits(title_terms, terms)
     scholarly = urls.is_scholarly(F.col("url"), domains)
     boost = F.lit(1.0) + TITLE_BOOST * hits / max(len(terms), 1)
     return rows.select(

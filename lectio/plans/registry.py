@@ -32,7 +32,7 @@ from .sql import (
     TEST_DOMAINS,
     TOP_N,
 )
-from .tables import shared_dir, table
+from .tables import shared_dir, spread, table
 
 SQL = _SQL
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def query(f: Query) -> Query:
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
     """``documents`` as the engine's documents."""
-    t = table(spark, d, "documents")
+    t = spread(table(spark, d, "documents"))
     content = F.coalesce("text", F.lit(""))
     kind = F.element_at(F.array(F.lit("Pdf"), F.lit("Markdown"), F.lit("Html")), (F.col("doc_id") % 3).cast("int") + 1)
     return t.select(
@@ -72,7 +72,7 @@ def ranked(spark: SparkSession, d: str, text: str) -> DataFrame:
 
 
 def crawled(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "crawled")
+    return spread(table(spark, d, "crawled"))
 
 
 # ---- text analysis
@@ -539,7 +539,7 @@ def live_stream_phases(spark, d):
 def title_boost(spark, d):
     terms = tokenize(LIVE_QUERY)
     title = analysis.tokenize(F.coalesce("title", F.lit("")))
-    n = F.size(F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.array_contains(title, t)))
+    n = live.title_hits(title, terms)
     return crawled(spark, d).select("page_id", F.round(1.0 + live.TITLE_BOOST * n / len(terms), 6).alias("boost"))
 
 

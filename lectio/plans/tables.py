@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Input below which a table is dealt out over the cores before work on its texts: it is too few splits to fill them.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over all cores where it is small. A small file often has one row group, so one task would do all the work;
+    a large table has enough splits and is not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that every executor can reach.
 

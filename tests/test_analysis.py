@@ -69,3 +69,9 @@ def test_no_python_in_the_plan(spark):
 def test_blank(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(analysis.tokenize(F.col("t")).alias("x")).first().x == [] == tokenize(text)
+
+
+def test_a_token_begins_like_its_stem():
+    """All of the stem but its last four letters: what live search relies on."""
+    words = [r[0] for r in rows("### C1.")] + ["rationalization", "valenci", "hesitanci", "vietnamization", "predication", "sensibiliti", "formaliti", "ies", "ational"]
+    assert all(w.startswith(stem(w)[: max(1, len(stem(w)) - 4)]) for w in words)
