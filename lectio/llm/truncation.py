@@ -1,7 +1,9 @@
 """Texts cut off before their end (problem 10).
 
-* Near copies: distinct texts are banded by MinHash on five-word shingles; in each bucket a text is paired with the
-  longest one, the pair is verified and aligned by words, and the copy whose alignment ends early is cut.
+* Near copies: each text is keyed by the least five-word shingle of every five in a row (winnowing), so a text that is
+  contained in a longer one shares keys with it at any difference of length. A text whose keys can be in a longer one
+  meets every longer text of its rarest keys, longest first, until one verifies: the pair is aligned by words, and the
+  copy whose alignment ends early is cut.
 * The rest is judged by how it closes: marks of an excerpt ("[...]", "Read more") and open sentences are cut; closing
   forms (a sentence, list, verse, reference, keywords, signature, date, end mark) are complete. Where the form leaves it
   open (a short line, an item of a list, a verse), the closing word decides by its terminality: how often it closes a
@@ -16,13 +18,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import written
 
-SHINGLE, BANDS, ROWS, SIMILAR = 5, 12, 3, 0.8
+SHINGLE, SIMILAR = 5, 0.8
+#: Shingles in a row of which the least is a key. A text of g shingles that keeps SIMILAR of them in a longer one loses
+#: four or more at each break, so it has at most g / 20 breaks and at least 0.6 g - WINDOW + 1 windows without one.
+WINDOW = 5
 #: Words by which the longer copy must go on after the alignment.
 EARLY = 4
 #: A closing word seen at least KNOWN times is terminal from this share of closings.
@@ -108,8 +114,8 @@ def words(text: str) -> list[str]:
 
 
 def features(documents: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """One narrow row a text: id, source, hash, word count, ending form, closing word and MinHash bands. Written to the
-    shared folder."""
+    """One narrow row a text: id, source, hash, word count with and without a closing mark of an excerpt, ending form,
+    closing word, and winnowing keys with the windows of each. Written to the shared folder."""
     slim = documents.select(doc, source, text)
     kinds = [f"`{doc}` {slim.schema[doc].dataType.simpleString()}", f"`{source}` {slim.schema[source].dataType.simpleString()}"]
 
@@ -119,48 +125,54 @@ def features(documents: DataFrame, doc: str, text: str, source: str) -> DataFram
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        rng = np.random.default_rng(7)
-        k = BANDS * ROWS
-        mul = rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 1 << 63, k, dtype=np.uint64)
-        mix = rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        mix = np.random.default_rng(7).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         code = _Codes(digest)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                rows, hashes, counts, forms, lasts, flat = [], [], [], [], [], []
+                rows, hashes, counts, bare, forms, lasts, flat = [], [], [], [], [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
                     if not t or t.isspace():
                         continue
                     ws = words(t)
+                    kept = len(ws) - _marked(t)
                     if len(code) > 1_000_000:
                         code.clear()
-                    flat += map(code.__getitem__, ws)
+                    flat += map(code.__getitem__, ws[:kept])
                     form, last = ending(t)
                     rows.append(i)
                     h = digest(t)
                     hashes.append(h - (1 << 64) if h >> 63 else h)
                     counts.append(len(ws))
+                    bare.append(kept)
                     forms.append(form)
                     lasts.append(last)
                 if not rows:
                     continue
-                bands = _bands(np.array(flat, np.uint64), np.array(counts), mul, add, mix)
-                offsets = np.arange(0, len(rows) * BANDS + 1, BANDS, dtype=np.int32)
+                owner, keys, cover = _keys(np.array(flat, np.uint64), np.array(bare), mix)
+                offsets = pa.array(np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(rows)),
                         part.column(1).take(pa.array(rows)),
                         pa.array(hashes, pa.int64()),
                         pa.array(counts, pa.int32()),
+                        pa.array(bare, pa.int32()),
                         pa.array(forms, pa.int32()),
                         pa.array(lasts, pa.string()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1))),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys)),
+                        pa.ListArray.from_arrays(offsets, pa.array(cover)),
                     ],
-                    [doc, source, "text_hash", "n", "form", "word", "bands"],
+                    [doc, source, "text_hash", "n", "bare", "form", "word", "keys", "cover"],
                 )
 
-    return written(slim.mapInArrow(run, ", ".join(kinds) + ", text_hash long, n int, form int, word string, bands array<long>"))
+    return written(slim.mapInArrow(run, ", ".join(kinds) + ", text_hash long, n int, bare int, form int, word string, keys array<long>, cover array<int>"))
+
+
+def _marked(text: str) -> int:
+    """Words of the mark of an excerpt that closes ``text``."""
+    found = _MARKER.search(text.rstrip()[-200:])
+    return len(words(found.group())) if found else 0
 
 
 class _Codes(dict):
@@ -174,93 +186,164 @@ class _Codes(dict):
         return code
 
 
-def _bands(tokens, counts, mul, add, mix):
-    """BANDS hashes of ROWS minima for each text; a text of fewer words than a shingle gets hashes of its own."""
+def _keys(tokens, counts, mix):
+    """(owner, key, cover), by owner: the distinct least shingles of each text's windows, and in how many windows."""
     import numpy as np
 
-    out = np.random.default_rng(len(tokens)).integers(-(1 << 62), 1 << 62, (len(counts), BANDS), dtype=np.int64)
-    n = len(tokens) - SHINGLE + 1
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    n = len(tokens) - SHINGLE - WINDOW + 2
     if n <= 0:
-        return out
+        return none
     owner = np.repeat(np.arange(len(counts)), counts)
     with np.errstate(over="ignore"):
-        sh = np.zeros(n, np.uint64)
+        sh = np.zeros(n + WINDOW - 1, np.uint64)
         for j in range(SHINGLE):
-            sh = (sh ^ tokens[j : j + n]) * mix[j]
+            sh = (sh ^ tokens[j : j + len(sh)]) * mix[j]
             sh ^= sh >> np.uint64(31)
-        whole = owner[:n] == owner[SHINGLE - 1 :]
-        sh, own = sh[whole], owner[:n][whole]
-        if not len(sh):
-            return out
-        starts = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
-        rows = own[starts]
-        for b in range(BANDS):
-            value = np.full(len(rows), b, np.uint64)
-            for r in range(ROWS):
-                k = b * ROWS + r
-                value = (value ^ np.minimum.reduceat(sh * mul[k] + add[k], starts)) * mix[0]
-                value ^= value >> np.uint64(29)
-            out[rows, b] = value.astype(np.int64)
-    return out
+    least = np.minimum.reduce([sh[j : j + n] for j in range(WINDOW)])
+    whole = owner[:n] == owner[SHINGLE + WINDOW - 2 :]
+    least, own = least[whole], owner[:n][whole]
+    if not len(least):
+        return none
+    order = np.lexsort((least, own))
+    least, own = least[order], own[order]
+    starts = np.nonzero(np.r_[True, (least[1:] != least[:-1]) | (own[1:] != own[:-1])])[0]
+    return own[starts], least[starts].astype(np.int64), np.diff(np.r_[starts, len(least)]).astype(np.int32)
 
 
 def ends_early(short: str, long: str) -> bool:
     """Whether ``short`` is a copy of ``long`` that stops before it: nearly all its shingles are in ``long`` in place, and
     ``long`` goes on for more than its closing line where ``short`` stops."""
-    a, b = words(_MARKER.sub("", short.rstrip())), words(long)
-    if len(a) < 2 * SHINGLE or len(b) < len(a) + EARLY:
-        return False
-    places: dict[tuple, list[int]] = {}
-    for i in range(len(b) - SHINGLE + 1):
-        places.setdefault(tuple(b[i : i + SHINGLE]), []).append(i)
-    grams = [tuple(a[i : i + SHINGLE]) for i in range(len(a) - SHINGLE + 1)]
-    if sum(g in places for g in grams) < SIMILAR * len(grams):
+    size, places = _places(long)
+    a = words(_MARKER.sub("", short.rstrip()))
+    if len(a) < 2 * SHINGLE or size < len(a) + EARLY:
         return False
-    for back in range(1, min(8, len(grams)) + 1):  # the last aligned shingle, a word cut in the middle aside
-        found = places.get(grams[-back])
+    count = len(a) - SHINGLE + 1
+    for back in range(1, min(8, count) + 1):  # the last aligned shingle, a word cut in the middle aside
+        found = places.get(tuple(a[count - back : count - back + SHINGLE]))
         if found:
-            at = min(found, key=lambda i: abs(i - (len(grams) - back)))
-            rest = len(b) - (at + SHINGLE)
+            at = min(found, key=lambda i: abs(i - (count - back)))
+            rest = size - (at + SHINGLE)
             closing = len(words(re.split(r"[\r\n]+", long.rstrip())[-1]))
             added = closing if closing <= 15 and ending(short)[0] == CLOSED else 0
-            return at >= 0.6 * (len(grams) - back) and rest > max(EARLY, added)
+            if at < 0.6 * (count - back) or rest <= max(EARLY, added):
+                return False
+            return sum(tuple(a[i : i + SHINGLE]) in places for i in range(count)) >= SIMILAR * count
     return False
 
 
-def _pairs(table: DataFrame, doc: str) -> DataFrame:
-    """(short, long): of each bucket, every text with the longest. Exact copies are one text, so a group of copies of any
-    size is one row here, and a bucket makes one pair a row."""
-    texts = table.groupBy("text_hash").agg(F.min(F.struct(doc, "n", "bands")).alias("t")).select("t.*")
-    bands = texts.select(F.col(doc).alias("id"), "n", F.posexplode("bands").alias("band", "value"))
-    top = (
-        bands.groupBy("band", "value")
-        .agg(F.count("*").alias("size"), F.max(F.struct("n", (-F.col("id")).alias("minus"))).alias("top"))
-        .where("size > 1")
-        .select("band", "value", F.col("top.n").alias("long_n"), (-F.col("top.minus")).alias("long"))
+@lru_cache(2)
+def _places(text: str) -> tuple[int, dict[tuple, list[int]]]:
+    """Number of words, and where each shingle is; kept for the pairs with the same longer text that follow."""
+    b = words(text)
+    places: dict[tuple, list[int]] = {}
+    for i in range(len(b) - SHINGLE + 1):
+        places.setdefault(tuple(b[i : i + SHINGLE]), []).append(i)
+    return len(b), places
+
+
+#: Longer texts of a key that a text meets in the first round; each further round goes on to FURTHER times as many.
+FIRST, FURTHER = 4, 8
+
+
+def _candidates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, text_hash, bare) of the texts that may be in a longer one, and (key, text_hash, n, rank) of all texts with
+    these keys, longest first. Copies are one text. A text stays if enough of its windows have a key that another text
+    has; then its rarest keys are taken until they cover a window that the longer text must share."""
+    rows = table.where(F.size("keys") > 0).select("text_hash", "n", "bare", F.inline(F.arrays_zip("keys", "cover")).alias("key", "cover"))
+    by_length = Window.partitionBy("key").orderBy(F.desc("n"), "text_hash")
+    shared = written(
+        rows.repartition("key")
+        .withColumn("copy", F.coalesce(F.lag("text_hash").over(by_length) == F.col("text_hash"), F.lit(False)))
+        .withColumn("rank", F.dense_rank().over(by_length))
+        .withColumn("texts", F.max("rank").over(Window.partitionBy("key")))
+        .where("texts > 1 and not copy")
+        .select("key", "text_hash", "n", "bare", "cover", "rank", "texts")
     )
-    return bands.join(top, ["band", "value"]).where(F.col("long_n") >= F.col("n") + EARLY).select(F.col("id").alias("short"), "long").distinct()
+    shingles = F.col("bare") - SHINGLE + 1
+    needed = F.greatest(F.lit(1), F.floor(shingles * (2 * SIMILAR - 1) - WINDOW + 1))
+    whole = shared.where(F.col("bare") >= 2 * SHINGLE).groupBy("text_hash").agg(F.sum("cover").alias("held"), F.first("bare").alias("bare")).where(F.col("held") >= needed)
+    rarest = Window.partitionBy("text_hash").orderBy("texts", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # windows without a shared key are the rarest of all: they count first
+    lost = shingles - WINDOW + 1 - F.col("held")
+    short = written(
+        shared.drop("bare")
+        .join(whole, "text_hash")
+        .withColumn("before", lost + F.sum("cover").over(rarest) - F.col("cover"))
+        .where((F.col("before") <= shingles - WINDOW + 1 - needed) & (F.col("rank") > 1))
+        .select("key", "text_hash", "bare", "rank")
+    )
+    keys = short.groupBy("key").agg(F.max("rank").alias("last"))
+    long = shared.select("key", F.col("text_hash").alias("long"), F.col("n").alias("long_n"), F.col("rank").alias("long_rank"))
+    return short, written(long.join(keys, "key").where("long_rank <= last").drop("last"))
 
 
-def _early_copies(table: DataFrame, documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """(text_hash) of the texts that a longer copy shows to be cut."""
-    pairs = _pairs(table, doc)
-    both = (
-        pairs.join(documents.select(F.col(doc).alias("short"), F.col(text).alias("short_text")), "short")
-        .join(documents.select(F.col(doc).alias("long"), F.col(text).alias("long_text")), "long")
-        .select("short", "short_text", "long_text")
-    )
-    kind = table.schema[doc].dataType.simpleString()
+#: Cells of the sieve that keeps the texts of candidates; a cell that is hit by chance costs a row in a join.
+CELLS = 1 << 25
+
+
+def _texts_of(table: DataFrame, documents: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """(text_hash, text) for the ``wanted`` (text_hash): one document of each, sifted before any shuffle."""
+    of = table.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min(doc).alias(doc))
+    of = written(of.where(F.col(doc).isNotNull()))
+    cell = F.pmod(F.xxhash64(doc), F.lit(CELLS)).cast("int")
+    cells = (r.cell for r in of.select(cell.alias("cell")).distinct().toLocalIterator())
+    shared = documents.sparkSession.sparkContext.broadcast(_sieve(cells))
+    slim = documents.select(doc, text, cell.alias("cell"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        sieve = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            hits = [i for i, (s, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if s and t and ends_early(s, t)]
-            if hits:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits))], [doc])
+            at = batch.column(2).to_numpy()
+            hit = np.nonzero(sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
+            if len(hit):
+                yield batch.take(pa.array(hit))
+
+    return slim.mapInArrow(run, slim.schema).drop("cell").join(of, doc).select("text_hash", text)
+
 
-    cut = both.mapInArrow(run, f"`{doc}` {kind}")
-    return table.join(cut.distinct(), doc, "left_semi").select("text_hash").distinct()
+def _sieve(cells: Iterable[int]) -> bytes:
+    import numpy as np
+
+    bits = np.zeros(CELLS, np.uint8)
+    bits[np.fromiter(cells, np.int32)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _early_copies(table: DataFrame, documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """(text_hash) of the texts that a longer copy shows to be cut. Rounds go down each key's texts by length, for the
+    texts that no longer one has shown to be cut yet, to the last."""
+    short, long = _candidates(table)
+    fits = F.col("long_n") >= F.col("bare") + EARLY
+    done = None
+    low, high = 1, FIRST
+    most = long.agg(F.max("long_rank")).first()[0] or 0
+    while low <= most:
+        some = long.where(F.col("long_rank").between(low, high))
+        rest = short.join(done, "text_hash", "left_anti") if done is not None else short
+        pairs = written(rest.where(F.col("rank") > low).join(some, "key").where(fits & (F.col("text_hash") != F.col("long"))).select("text_hash", "long").distinct())
+        if pairs.isEmpty():
+            low, high = high + 1, high * FURTHER
+            continue
+        wanted = pairs.select("text_hash").union(pairs.select("long")).distinct()
+        texts = written(_texts_of(table, documents, wanted, doc, text))
+        both = pairs.join(texts.withColumnRenamed(text, "short_text"), "text_hash").join(texts.select(F.col("text_hash").alias("long"), F.col(text).alias("long_text")), "long")
+        found = written(both.sortWithinPartitions("long").select("text_hash", "short_text", "long_text").mapInArrow(_verify, "text_hash long").distinct())
+        done = found if done is None else done.union(found)
+        low, high = high + 1, high * FURTHER
+    return done if done is not None else short.select("text_hash").limit(0)
+
+
+def _verify(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        hits = [i for i, (s, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if s and t and ends_early(s, t)]
+        if hits:
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits))], ["text_hash"])
 
 
 #: Distinct doubtful closing words up to which their list is sent to every task (a few MB).

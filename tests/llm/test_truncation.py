@@ -65,3 +65,20 @@ def test_alignment_needs_a_longer_copy():
     rng = random.Random(5)
     t = essay(rng, 20)
     assert not T.ends_early(t, t) and not T.ends_early(t, essay(rng, 40)) and T.ends_early(t[:-200], t)
+
+
+def test_every_longer_copy_is_met(spark):
+    rng = random.Random(6)
+    essay = lambda rng, n: " ".join(" ".join(f"{rng.choice(NOUNS)}{rng.randrange(99)}" for _ in range(9)) + "." for _ in range(n))
+    rows, cut = [], []
+    for k in range(12):  # copies cut to a third: few minima of the whole are those of the part
+        full = essay(rng, 60)
+        part = full[: full.index(".", len(full) // 3) + 1]
+        rows += [(2 * k, full), (2 * k + 1, part)]
+        cut.append(2 * k + 1)
+    full = essay(rng, 44)
+    part = full[: full.index(".", len(full) * 9 // 10) + 1]
+    rows += [(100, full), (101, part)]  # anthologies that end with the part are longer than its whole copy
+    rows += [(200 + k, essay(rng, 12) + " " + part) for k in range(30)]
+    got = {r.doc_id: r.why for r in T.judge(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")).where("cut").collect()}
+    assert got == dict.fromkeys([*cut, 101], "copy")
