@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -48,7 +48,13 @@ def crawl(pages: DataFrame, links: DataFrame, options: CrawlOptions) -> DataFram
         ok = {r.url: r.ok for r in pages.where(F.col("url").isin(*near)).groupBy("url").agg(F.max("success").alias("ok")).collect()}
         follow: dict[str, list[str]] = {}
         if depth < options.max_depth:
-            rows = links.where(F.col("src").isin(*near) & (F.col("ordinal") < bound)).select("src", "ordinal", "dst").distinct().collect()
+            key = F.lower("dst")
+            own = links.where(F.col("src").isin(*near)).select("src", "ordinal", "dst").distinct().where(~key.isin(*seen) if seen else F.lit(True))
+            if options.same_domain and home:
+                own = own.where(_on_host(home)("dst"))
+            # of what may still be queued, no page needs more than ``bound``; links to this level are visited by and by
+            first = Window.partitionBy("src", F.when(key.isin(*{u.lower() for u in level}), key)).orderBy("ordinal", "dst")
+            rows = own.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= bound).select("src", "ordinal", "dst").collect()
             for r in sorted(rows, key=lambda r: (r.ordinal, r.dst)):
                 follow.setdefault(r.src, []).append(r.dst)
         queue = later
@@ -71,6 +77,19 @@ def crawl(pages: DataFrame, links: DataFrame, options: CrawlOptions) -> DataFram
     return spark.createDataFrame(out, "ord int, url string, depth int, success boolean")
 
 
+def _on_host(home: str):
+    """Whether an address is on ``home``, by the same parser as the queue."""
+
+    @F.udf("boolean")
+    def on_host(url: str | None) -> bool:
+        try:
+            return (urlsplit(url or "").hostname or "").lower() == home
+        except ValueError:
+            return False
+
+    return on_host
+
+
 def depths(links: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     """(url, depth): the least number of links from any of ``seeds`` (url) within one host, for whole graphs: one join and
     one anti-join a level, each level written so that lineage stays short. Repeated edges count once."""

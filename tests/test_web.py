@@ -64,6 +64,16 @@ def visit(spark, edges, depth, most, fail=()):
     return "".join(r.url[-1] for r in rows)
 
 
+def test_crawl_skips_foreign_and_visited_links_without_counting_them(spark):
+    home, far = "https://a.example", "https://b.example"
+    pages = spark.createDataFrame([(u, True) for u in (home, f"{home}/x", f"{home}/y")], "url string, success boolean")
+    rows = [(home, k, f"{far}/{k}") for k in range(50)] + [(home, 50, f"{home}/x")]
+    rows += [(f"{home}/x", k, home if k % 2 else f"{home}/x") for k in range(50)] + [(f"{home}/x", 50, f"{home}/y")]
+    links = spark.createDataFrame(rows, "src string, ordinal int, dst string")
+    got = [r.url for r in crawl.crawl(pages, links, crawl.CrawlOptions(home, 5, True, 2)).collect()]
+    assert got == [home, f"{home}/x", f"{home}/y"]
+
+
 def test_crawl(spark):
     edges = [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("C", "E"), ("D", "A")]
     assert [visit(spark, edges, d, 10) for d in (0, 1, 2)] == ["A", "ABC", "ABCDE"]
