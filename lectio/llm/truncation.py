@@ -1,23 +1,24 @@
 """Texts cut off before their end (problem 10).
 
-* Near copies: each text is keyed by the least five-word shingle of every five in a row (winnowing), so a text that is
-  contained in a longer one shares keys with it at any difference of length. A text whose keys can be in a longer one
-  meets every longer text of its rarest keys, longest first, until one verifies: the pair is aligned by words, and the
-  copy whose alignment ends early is cut.
-* The rest is judged by how it closes: marks of an excerpt ("[...]", "Read more") and open sentences are cut; closing
-  forms (a sentence, list, verse, reference, keywords, signature, date, end mark) are complete. Where the form leaves it
-  open (a short line, an item of a list, a verse), the closing word decides by its terminality: how often it closes a
-  line or sentence in the whole corpus.
+* Near copies: a copy that was cut is a *prefix* of the whole, so MinHash banding works on prefixes. Each text signs its
+  first 6, 12, 24, ... five-word shingles; a cut text meets the longer ones in the bands of its own longest signed prefix,
+  which covers at least half of it, however much of the whole is gone. The pair is aligned by words, and the copy whose
+  alignment ends early is cut (:func:`relation`).
+* The rest is scored by the terminality of its close (:class:`Terminality`): how often the closing word closes a sentence
+  or line in the whole corpus, with the mark after it and the shape of the last line. The score of such a close is the
+  ratio of how often texts of the corpus end so to how often the same texts, cut at a random place, would. A text that
+  closes as random places do, and as ends hardly do, is cut.
+* A mark that says that the text goes on elsewhere ("[...]", "Read more") is taken off first; where the rest has a terminal
+  close, the mark alone tells the cut (sign ``mark``).
 
 Null, empty and blank texts are no cases. Copies of a cut text are cut too. Empty tables give empty results; ties of
-length go to the smaller id.
+length go to the greater hash.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
@@ -26,15 +27,19 @@ from pyspark.sql import functions as F
 from .tables import written
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Shingles in a row of which the least is a key. A text of g shingles that keeps SIMILAR of them in a longer one loses
-#: four or more at each break, so it has at most g / 20 breaks and at least 0.6 g - WINDOW + 1 windows without one.
-WINDOW = 5
+#: Bands of minima that each signed prefix has: a pair of prefixes at similarity 0.8 meets with probability 0.994, at 0.67
+#: (a text with 0.8 of its shingles in the other and as many of its own) with 0.95.
+BANDS, ROWS = 5, 2
+#: Shingles of the shortest signed prefix; each further one has twice as many.
+LEAST = 6
+#: Each further round meets so many times as many longer texts.
+FURTHER = 8
 #: Words by which the longer copy must go on after the alignment.
 EARLY = 4
-#: A closing word seen at least KNOWN times is terminal from this share of closings.
-KNOWN, TERMINAL = 3, 0.02
-
-CLOSED, CUT, OPEN = 0, 1, 2
+#: A close that is at an end at most so many times as often as at a random place tells a cut (see :class:`Terminality`).
+RATIO = 0.3
+#: Weight of the wider class in the ratio of a narrower one, in observations.
+WEIGHT = 6.0
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKER = re.compile(
@@ -49,40 +54,64 @@ _REFERENCE = re.compile(r"^\W*(?:\[\d+\]|\d+[.)]|[*†‡])\s.*\b(?:pp?|s|bd|bk|
 _KEYWORDS = re.compile(r"(?i)^(?:key ?words?|tags|topics|mots[ -]cl.s|schlagw.rter|stichworte|palabras clave)\s*[:—-]")
 _DATE = re.compile(r"(?:^|\s)(?:\d{1,2}\.? ?(?:de )?[^\W\d_]{3,12}\.? (?:de )?\d{3,4}|[^\W\d_]{3,12} \d{1,2}, \d{4}|\d{4}-\d\d-\d\d|[MDCLXVI]{3,})\W*$")
 _ITEM = re.compile(r"^\s*(?:[-*–•·]|\d{1,3}[.)]|\([a-z0-9]{1,3}\)|[a-z]\))\s+\S")
+_CLOSING = re.compile(r"(?<!\w)([^\W_]++)[^\w.!?\r\n]*+[.!?\r\n]")
+_PARTICLES = frozenset("of de von van der den the la le du di da y et and zu zur brother sister father mother fr sr".split())
 
-
-def ending(text: str) -> tuple[int, str]:
-    """(form, closing word): CLOSED, CUT, or OPEN where the closing word is to decide."""
-    s = text.rstrip()
-    lines = [x.strip() for x in re.split(r"[\r\n]+", s[-4000:]) if x.strip()]
+#: Marks after the closing word.
+STOP, PAUSE, BARE = range(3)
+#: Shapes of the closing line.
+FINIS, REFERENCE, KEYWORDS, DATE, LEAD, NAME, TITLE, ITEM, SHORT_ITEM, VERSE, PROSE = range(11)
+#: Kinds of closing words by their form: small, capital, number, none.
+SMALL, CAPITAL, NUMBER, NONE = range(4)
+#: What the ratio of a mark and shape is taken for before anything is counted.
+PRIOR = {PAUSE: 0.1, BARE: 0.1}
+PRIOR_SHAPE = {FINIS: 4.0, REFERENCE: 4.0, KEYWORDS: 4.0, DATE: 4.0, LEAD: 4.0, NAME: 4.0, TITLE: 1.0, ITEM: 1.0, VERSE: 1.0}
+
+
+def closing(text: str) -> tuple[int, int, str]:
+    """(mark, shape, closing word) of a text: the mark after its last word, and the shape of its last line beside the
+    lines before it."""
+    lines = _last_lines(text)
     last = lines[-1]
-    found = _WORD.findall(last.lower())
-    word = found[-1] if found else ""
-    if _MARKER.search(last):
-        return CUT, word
-    if _FINIS.search(last) or _STOP.search(last):
-        return CLOSED, word
-    if _REFERENCE.search(last) or _KEYWORDS.search(last) or _DATE.search(last):
-        return CLOSED, word
+    found = _WORD.findall(last)
+    mark = STOP if _STOP.search(last) else PAUSE if last[-1] in ",;:-–—(«“„‘&/" else BARE
+    return mark, _shape(last, lines, mark), found[-1] if found else ""
+
+
+def _shape(last: str, lines: list[str], mark: int) -> int:
+    if _FINIS.search(last):
+        return FINIS
+    if mark == STOP:
+        return PROSE
+    for pattern, shape in ((_REFERENCE, REFERENCE), (_KEYWORDS, KEYWORDS), (_DATE, DATE)):
+        if pattern.search(last):
+            return shape
     n = len(last.split())
     if last[-1] == ":" and n <= 8:  # an instruction or heading on its own line
-        return CLOSED, word
-    if last[-1] in ",;:-–—(«“„‘&/" or not found:
-        return CUT, word
+        return LEAD
     names = [w for w in last.split() if w[:1].isalpha()]
-    if n <= 8 and names and all(w[0].isupper() or w.lower() in _PARTICLES for w in names) and "," in last and len(lines) > 1:
-        return CLOSED, word  # a name, a place
+    if n <= 8 and names and "," in last and len(lines) > 1 and all(w[0].isupper() or w.lower() in _PARTICLES for w in names):
+        return NAME
     if len(lines) == 1:
-        return (OPEN if sum(w[0].isupper() for w in names) * 2 > len(names) and n <= 15 else CUT), word
+        return TITLE if n <= 15 and sum(w[0].isupper() for w in names) * 2 > len(names) else PROSE
     if _ITEM.search(last):
-        before = [x for x in lines[-4:-1] if _ITEM.search(x)]
-        return (OPEN if not before or n >= min(len(x.split()) for x in before) else CUT), word
+        before = [x for x in lines[:-1] if _ITEM.search(x)]
+        return ITEM if not before or n >= min(len(x.split()) for x in before) else SHORT_ITEM
     if last[0].islower() and n <= 14 and not _STOP.search(lines[-2]) or _verse(lines):
-        return OPEN, word
-    return CUT, word
+        return VERSE
+    return PROSE
 
 
-_PARTICLES = frozenset("of de von van der den the la le du di da y et and zu zur brother sister father mother fr sr".split())
+def _last_lines(text: str, most: int = 4) -> list[str]:
+    """The last non-blank lines, however long, without the spaces around them."""
+    end, out = len(text), []
+    while end > 0 and len(out) < most:
+        at = max(text.rfind("\n", 0, end), text.rfind("\r", 0, end))
+        line = text[at + 1 : end].strip()
+        if line:
+            out.append(line)
+        end = at
+    return out[::-1]
 
 
 def _verse(lines: list[str]) -> bool:
@@ -91,33 +120,36 @@ def _verse(lines: list[str]) -> bool:
     return len(tail) >= 2 and all(len(x.split()) <= 12 and not _STOP.search(x) for x in tail) and len(tail[-1].split()) >= min(len(x.split()) for x in tail[:-1])
 
 
-def closings(texts: Iterable[str], wanted: frozenset[str] | set[str]) -> tuple[Counter, Counter]:
-    """For the ``wanted`` words: occurrences, and how often each closes a sentence or a line."""
-    total: Counter = Counter()
-    close: Counter = Counter()
-    for t in texts:
-        low = t.lower()
-        total.update(filter(wanted.__contains__, _WORD.findall(low)))
-        for piece in _BREAK.split(low):
-            found = _FINAL.search(piece)
-            if found and found.group(1) in wanted:
-                close[found.group(1)] += 1
-    return total, close
-
-
-_BREAK = re.compile(r"[.!?\r\n]+")
-_FINAL = re.compile(r"([^\W_]+)[\W_]*$")
+def cut_at_random(text: str, seed: int) -> str | None:
+    """``text`` cut between 0.3 and 0.95 of its length at a place that ``seed`` says, at any character or, for every
+    second seed, after a word; null for a text of under 40 characters."""
+    n = len(text)
+    if n < 40:
+        return None
+    at = int(n * (0.3 + 0.65 * (seed >> 1 & 0xFFFF) / 0x10000))
+    if seed & 1:
+        space = text.find(" ", at)
+        at = space if space > 0 else at
+    part = text[:at]
+    return None if not part or part.isspace() else part
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: Distinct words of a worker's counts that are added up before they are handed on; it bounds memory, not results.
+COUNTED = 1_000_000
+
+
 def features(documents: DataFrame, doc: str, text: str, source: str) -> DataFrame:
-    """One narrow row a text: id, source, hash, word count with and without a closing mark of an excerpt, ending form,
-    closing word, and winnowing keys with the windows of each. Written to the shared folder."""
+    """One narrow row a text: id, source, hash, word count with and without a closing mark of an excerpt, its close and
+    that of the same text cut at random, and the band keys of its prefixes; and, with ``vocab`` set, rows of (text_hash =
+    word code, n = occurrences, bare = times it closes a sentence or line), added per worker. Written to the shared
+    folder."""
     slim = documents.select(doc, source, text)
     kinds = [f"`{doc}` {slim.schema[doc].dataType.simpleString()}", f"`{source}` {slim.schema[source].dataType.simpleString()}"]
+    fields = "text_hash long, n long, bare long, marked boolean, mark int, shape int, kind int, code long, at_mark int, at_shape int, at_kind int, at_code long, keys array<long>, vocab boolean"
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -125,54 +157,110 @@ def features(documents: DataFrame, doc: str, text: str, source: str) -> DataFram
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        mix = np.random.default_rng(7).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        rng = np.random.default_rng(7)
+        mix, a = (rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (SHINGLE, BANDS * ROWS))
         code = _Codes(digest)
+        counted = _Counts()
+        schema = None
+
+        def close(t: str | None) -> tuple:
+            if not t or t.isspace():
+                return None, None, None, None
+            mark, shape, w = closing(t)
+            kind = NONE if not w else NUMBER if w[0].isdigit() else CAPITAL if w[0].isupper() else SMALL
+            c = code[w.lower()]
+            return mark, shape, kind, c - (1 << 64) if c >> 63 else c
+
         for batch in batches:
+            schema = batch.schema
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                rows, hashes, counts, bare, forms, lasts, flat = [], [], [], [], [], [], []
+                rows, flat, ends, counts = [], [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
                     if not t or t.isspace():
                         continue
-                    ws = words(t)
-                    kept = len(ws) - _marked(t)
-                    if len(code) > 1_000_000:
+                    low = t.lower()
+                    ws = _WORD.findall(low)
+                    bare = without_marker(t)
+                    kept = len(ws) if bare is t else len(_WORD.findall(bare.lower()))
+                    if len(code) > COUNTED:
                         code.clear()
-                    flat += map(code.__getitem__, ws[:kept])
-                    form, last = ending(t)
-                    rows.append(i)
+                    flat += map(code.__getitem__, ws)
+                    ends += map(code.__getitem__, _CLOSING.findall(low))
                     h = digest(t)
-                    hashes.append(h - (1 << 64) if h >> 63 else h)
                     counts.append(len(ws))
-                    bare.append(kept)
-                    forms.append(form)
-                    lasts.append(last)
+                    rows.append((i, h - (1 << 64) if h >> 63 else h, len(ws), kept, bare is not t, *close(bare), *close(cut_at_random(t, h))))
                 if not rows:
                     continue
-                owner, keys, cover = _keys(np.array(flat, np.uint64), np.array(bare), mix)
+                tokens = np.array(flat, np.uint64)
+                yield from counted.add(tokens, np.array(ends, np.uint64), schema)
+                columns = list(zip(*rows))
+                owner, keys = _prefix_keys(tokens, np.array(counts), np.array(columns[3]), mix, a)
                 offsets = pa.array(np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32))
+                at = pa.array(columns[0])
+                kinds_of = [pa.int64()] * 3 + [pa.bool_()] + [pa.int32(), pa.int32(), pa.int32(), pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(rows)),
-                        part.column(1).take(pa.array(rows)),
-                        pa.array(hashes, pa.int64()),
-                        pa.array(counts, pa.int32()),
-                        pa.array(bare, pa.int32()),
-                        pa.array(forms, pa.int32()),
-                        pa.array(lasts, pa.string()),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys)),
-                        pa.ListArray.from_arrays(offsets, pa.array(cover)),
-                    ],
-                    [doc, source, "text_hash", "n", "bare", "form", "word", "keys", "cover"],
+                    [part.column(0).take(at), part.column(1).take(at), *(pa.array(c, k) for c, k in zip(columns[1:], kinds_of)), pa.ListArray.from_arrays(offsets, pa.array(keys)), pa.array([False] * len(rows))],
+                    [doc, source, *(f.split()[0] for f in fields.split(", "))],
                 )
+        if schema is not None:
+            yield from counted.rest(schema)
+
+    class _Counts:
+        """Occurrences and closings of word codes, added up before they are handed on."""
+
+        def __init__(self):
+            self.parts: list[tuple] = []
+            self.size = 0
+
+        def add(self, tokens, ends, schema) -> Iterator:
+            import numpy as np
+
+            distinct, number = np.unique(tokens, return_counts=True)
+            closes = np.zeros(len(distinct), np.int64)
+            e, k = np.unique(ends, return_counts=True)
+            at = np.searchsorted(distinct, e)
+            closes[at] = k
+            self.parts.append((distinct, number.astype(np.int64), closes))
+            self.size += len(distinct)
+            if self.size > 4 * COUNTED:
+                self._merge()
+                if self.size > COUNTED:
+                    yield from self.rest(schema)
+
+        def _merge(self) -> None:
+            import numpy as np
+
+            codes, place = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+            totals = [np.zeros(len(codes), np.int64) for _ in range(2)]
+            for k in range(2):
+                np.add.at(totals[k], place, np.concatenate([p[k + 1] for p in self.parts]))
+            self.parts, self.size = [(codes, *totals)], len(codes)
+
+        def rest(self, schema) -> Iterator:
+            import pyarrow as pa
+
+            if not self.parts:
+                return
+            self._merge()
+            codes, total, closes = self.parts[0]
+            n = len(codes)
+            null = lambda kind: pa.nulls(n, kind)
+            self.parts, self.size = [], 0
+            middle = [null(k) for k in [pa.int32(), pa.int32(), pa.int32(), pa.int64()] * 2]
+            yield pa.RecordBatch.from_arrays(
+                [null(schema.field(0).type), null(schema.field(1).type), pa.array(codes.astype("int64")), pa.array(total), pa.array(closes), null(pa.bool_()), *middle, null(pa.list_(pa.int64())), pa.array([True] * n)],
+                [doc, source, *(f.split()[0] for f in fields.split(", "))],
+            )
 
-    return written(slim.mapInArrow(run, ", ".join(kinds) + ", text_hash long, n int, bare int, form int, word string, keys array<long>, cover array<int>"))
+    return written(slim.mapInArrow(run, ", ".join(kinds) + ", " + fields))
 
 
-def _marked(text: str) -> int:
-    """Words of the mark of an excerpt that closes ``text``."""
-    found = _MARKER.search(text.rstrip()[-200:])
-    return len(words(found.group())) if found else 0
+def without_marker(text: str) -> str:
+    """``text`` without a closing mark that says that it goes on elsewhere; ``text`` itself where it has none."""
+    end = len(text.rstrip())
+    found = _MARKER.search(text, max(0, end - 200), end)
+    return text[: found.start()] if found else text
 
 
 class _Codes(dict):
@@ -186,50 +274,80 @@ class _Codes(dict):
         return code
 
 
-def _keys(tokens, counts, mix):
-    """(owner, key, cover), by owner: the distinct least shingles of each text's windows, and in how many windows."""
+def _prefix_keys(tokens, counts, bare, mix, a):
+    """(owner, key), by owner and level: BANDS keys for each signed prefix of each text, the longest last. ``counts`` are
+    the words of each text in ``tokens``, ``bare`` those that count."""
     import numpy as np
 
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    n = len(tokens) - SHINGLE - WINDOW + 2
-    if n <= 0:
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = bare - SHINGLE + 1
+    begins = np.cumsum(counts) - counts
+    texts = np.nonzero(number >= LEAST)[0]
+    if not len(texts):
         return none
-    owner = np.repeat(np.arange(len(counts)), counts)
+    levels = np.floor(np.log2(number[texts] / LEAST)).astype(np.int64) + 1
     with np.errstate(over="ignore"):
-        sh = np.zeros(n + WINDOW - 1, np.uint64)
+        shingle = np.zeros(len(tokens) - SHINGLE + 1, np.uint64)
         for j in range(SHINGLE):
-            sh = (sh ^ tokens[j : j + len(sh)]) * mix[j]
-            sh ^= sh >> np.uint64(31)
-    least = np.minimum.reduce([sh[j : j + n] for j in range(WINDOW)])
-    whole = owner[:n] == owner[SHINGLE + WINDOW - 2 :]
-    least, own = least[whole], owner[:n][whole]
-    if not len(least):
-        return none
-    order = np.lexsort((least, own))
-    least, own = least[order], own[order]
-    starts = np.nonzero(np.r_[True, (least[1:] != least[:-1]) | (own[1:] != own[:-1])])[0]
-    return own[starts], least[starts].astype(np.int64), np.diff(np.r_[starts, len(least)]).astype(np.int32)
-
-
-def ends_early(short: str, long: str) -> bool:
-    """Whether ``short`` is a copy of ``long`` that stops before it: nearly all its shingles are in ``long`` in place, and
-    ``long`` goes on for more than its closing line where ``short`` stops."""
+            shingle = (shingle ^ tokens[j : j + len(shingle)]) * mix[j]
+            shingle ^= shingle >> np.uint64(31)
+        # pieces of each text: its first LEAST shingles, then as many again, twice as many, ...
+        owner = np.repeat(texts, levels)
+        level = np.arange(len(owner)) - np.repeat(np.cumsum(levels) - levels, levels)
+        low = begins[owner] + np.where(level == 0, 0, LEAST << np.maximum(level - 1, 0))
+        high = begins[owner] + (LEAST << level)
+        edges = np.empty(2 * len(low), np.int64)
+        edges[0::2], edges[1::2] = low, np.minimum(high, len(shingle) - 1)
+        minima = []
+        for m in a:
+            h = shingle * m
+            h ^= h >> np.uint64(32)
+            piece = np.minimum.reduceat(h, edges)[0::2]
+            # the last piece of the last text may reach the end, where reduceat has no right edge
+            if high[-1] >= len(shingle):
+                piece[-1] = h[low[-1] :].min()
+            for step in range(1, int(levels.max())):
+                at = np.nonzero(level == step)[0]
+                piece[at] = np.minimum(piece[at], piece[at - 1])
+            minima.append(piece)
+        keys = np.empty((len(owner), BANDS), np.uint64)
+        for b in range(BANDS):
+            k = (level.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1) * np.uint64(0xC2B2AE3D27D4EB4F)
+            for r in range(ROWS):
+                k = (k ^ minima[b * ROWS + r]) * mix[r]
+                k ^= k >> np.uint64(29)
+            keys[:, b] = k
+    return np.repeat(owner, BANDS), keys.reshape(-1).astype(np.int64)
+
+
+UNRELATED, SAME_END, ENDS_EARLY = range(3)
+
+
+def relation(short: str, long: str) -> int:
+    """How ``short`` stands to ``long``: ``ENDS_EARLY`` for a copy that stops before it (nearly all its shingles are in
+    ``long``, the last ones in place, and ``long`` goes on there for more than a closing line), ``SAME_END`` for another
+    copy, else ``UNRELATED``."""
     size, places = _places(long)
-    a = words(_MARKER.sub("", short.rstrip()))
-    if len(a) < 2 * SHINGLE or size < len(a) + EARLY:
-        return False
+    a = words(without_marker(short))
     count = len(a) - SHINGLE + 1
-    for back in range(1, min(8, count) + 1):  # the last aligned shingle, a word cut in the middle aside
-        found = places.get(tuple(a[count - back : count - back + SHINGLE]))
-        if found:
-            at = min(found, key=lambda i: abs(i - (count - back)))
-            rest = size - (at + SHINGLE)
-            closing = len(words(re.split(r"[\r\n]+", long.rstrip())[-1]))
-            added = closing if closing <= 15 and ending(short)[0] == CLOSED else 0
-            if at < 0.6 * (count - back) or rest <= max(EARLY, added):
-                return False
-            return sum(tuple(a[i : i + SHINGLE]) in places for i in range(count)) >= SIMILAR * count
-    return False
+    if count < LEAST:
+        return UNRELATED
+    early = False
+    if size >= len(a) + EARLY and len(a) >= 2 * SHINGLE:
+        for back in range(1, min(8, count) + 1):  # the last aligned shingle, a word cut in the middle aside
+            found = places.get(tuple(a[count - back : count - back + SHINGLE]))
+            if found:
+                at = min(found, key=lambda i: abs(i - (count - back)))
+                rest = size - (at + SHINGLE)
+                end = len(words(_last_lines(long, 1)[-1]))
+                mark, shape, _ = closing(short)
+                complete = mark == STOP or shape not in (PROSE, SHORT_ITEM)
+                added = end if end <= 15 and complete else 0
+                early = at >= 0.6 * (count - back) and rest > max(EARLY, added)
+                break
+    if sum(tuple(a[i : i + SHINGLE]) in places for i in range(count)) < SIMILAR * count:
+        return UNRELATED
+    return ENDS_EARLY if early else SAME_END
 
 
 @lru_cache(2)
@@ -242,169 +360,191 @@ def _places(text: str) -> tuple[int, dict[tuple, list[int]]]:
     return len(b), places
 
 
-#: Longer texts of a key that a text meets in the first round; each further round goes on to FURTHER times as many.
-FIRST, FURTHER = 4, 8
-
-
-def _candidates(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, text_hash, bare) of the texts that may be in a longer one, and (key, text_hash, n, rank) of all texts with
-    these keys, longest first. Copies are one text. A text stays if enough of its windows have a key that another text
-    has; then its rarest keys are taken until they cover a window that the longer text must share."""
-    rows = table.where(F.size("keys") > 0).select("text_hash", "n", "bare", F.inline(F.arrays_zip("keys", "cover")).alias("key", "cover"))
-    by_length = Window.partitionBy("key").orderBy(F.desc("n"), "text_hash")
-    shared = written(
-        rows.repartition("key")
-        .withColumn("copy", F.coalesce(F.lag("text_hash").over(by_length) == F.col("text_hash"), F.lit(False)))
-        .withColumn("rank", F.dense_rank().over(by_length))
-        .withColumn("texts", F.max("rank").over(Window.partitionBy("key")))
-        .where("texts > 1 and not copy")
-        .select("key", "text_hash", "n", "bare", "cover", "rank", "texts")
-    )
-    shingles = F.col("bare") - SHINGLE + 1
-    needed = F.greatest(F.lit(1), F.floor(shingles * (2 * SIMILAR - 1) - WINDOW + 1))
-    whole = shared.where(F.col("bare") >= 2 * SHINGLE).groupBy("text_hash").agg(F.sum("cover").alias("held"), F.first("bare").alias("bare")).where(F.col("held") >= needed)
-    rarest = Window.partitionBy("text_hash").orderBy("texts", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # windows without a shared key are the rarest of all: they count first
-    lost = shingles - WINDOW + 1 - F.col("held")
-    short = written(
-        shared.drop("bare")
-        .join(whole, "text_hash")
-        .withColumn("before", lost + F.sum("cover").over(rarest) - F.col("cover"))
-        .where((F.col("before") <= shingles - WINDOW + 1 - needed) & (F.col("rank") > 1))
-        .select("key", "text_hash", "bare", "rank")
-    )
-    keys = short.groupBy("key").agg(F.max("rank").alias("last"))
-    long = shared.select("key", F.col("text_hash").alias("long"), F.col("n").alias("long_n"), F.col("rank").alias("long_rank"))
-    return short, written(long.join(keys, "key").where("long_rank <= last").drop("last"))
-
-
 #: Cells of the sieve that keeps the texts of candidates; a cell that is hit by chance costs a row in a join.
 CELLS = 1 << 25
 
 
 def _texts_of(table: DataFrame, documents: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
-    """(text_hash, text) for the ``wanted`` (text_hash): one document of each, sifted before any shuffle."""
-    of = table.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min(doc).alias(doc))
+    """(text_hash, text) for the ``wanted`` (text_hash): one document of each, sifted before any shuffle. The sieve is a
+    bit map of CELLS bits however many are wanted."""
+    of = table.where("not vocab").join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min(doc).alias(doc))
     of = written(of.where(F.col(doc).isNotNull()))
     cell = F.pmod(F.xxhash64(doc), F.lit(CELLS)).cast("int")
-    cells = (r.cell for r in of.select(cell.alias("cell")).distinct().toLocalIterator())
-    shared = documents.sparkSession.sparkContext.broadcast(_sieve(cells))
+    bit = F.expr("shiftleft(1L, cell & 63)")
+    maps = of.select(cell.alias("cell")).groupBy(F.expr("cell >> 6").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    shared = documents.sparkSession.sparkContext.broadcast(_sieve((r["at"], r["bits"]) for r in maps))
     slim = documents.select(doc, text, cell.alias("cell"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        sieve = np.frombuffer(shared.value, np.uint8)
+        sieve = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
             at = batch.column(2).to_numpy()
-            hit = np.nonzero(sieve[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
+            hit = np.nonzero(sieve[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))[0]
             if len(hit):
                 yield batch.take(pa.array(hit))
 
     return slim.mapInArrow(run, slim.schema).drop("cell").join(of, doc).select("text_hash", text)
 
 
-def _sieve(cells: Iterable[int]) -> bytes:
+def _sieve(maps) -> bytes:
     import numpy as np
 
-    bits = np.zeros(CELLS, np.uint8)
-    bits[np.fromiter(cells, np.int32)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _early_copies(table: DataFrame, documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """(text_hash) of the texts that a longer copy shows to be cut. Rounds go down each key's texts by length, for the
-    texts that no longer one has shown to be cut yet, to the last."""
-    short, long = _candidates(table)
-    fits = F.col("long_n") >= F.col("bare") + EARLY
-    done = None
-    low, high = 1, FIRST
-    most = long.agg(F.max("long_rank")).first()[0] or 0
-    while low <= most:
-        some = long.where(F.col("long_rank").between(low, high))
-        rest = short.join(done, "text_hash", "left_anti") if done is not None else short
-        pairs = written(rest.where(F.col("rank") > low).join(some, "key").where(fits & (F.col("text_hash") != F.col("long"))).select("text_hash", "long").distinct())
-        if pairs.isEmpty():
-            low, high = high + 1, high * FURTHER
-            continue
-        wanted = pairs.select("text_hash").union(pairs.select("long")).distinct()
-        texts = written(_texts_of(table, documents, wanted, doc, text))
-        both = pairs.join(texts.withColumnRenamed(text, "short_text"), "text_hash").join(texts.select(F.col("text_hash").alias("long"), F.col(text).alias("long_text")), "long")
-        found = written(both.sortWithinPartitions("long").select("text_hash", "short_text", "long_text").mapInArrow(_verify, "text_hash long").distinct())
-        done = found if done is None else done.union(found)
-        low, high = high + 1, high * FURTHER
-    return done if done is not None else short.select("text_hash").limit(0)
-
-
-def _verify(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        hits = [i for i, (s, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if s and t and ends_early(s, t)]
-        if hits:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits))], ["text_hash"])
-
-
-#: Distinct doubtful closing words up to which their list is sent to every task (a few MB).
-SENT_WORDS = 200_000
-
-
-def word_closings(documents: DataFrame, text: str, words_of: DataFrame) -> DataFrame:
-    """(word, total, closes) over the whole corpus for the words of ``words_of`` (word), added per worker before the
-    shuffle. A list too long to send is counted as all words and joined."""
-    listed = words_of.select("word").distinct()
-    known = listed.limit(SENT_WORDS + 1).collect()
-    few = len(known) <= SENT_WORDS
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(r.word for r in known) if few else None)
+    words = np.zeros(CELLS >> 6, np.int64)
+    for at, bits in maps:
+        words[at] = bits
+    return words.tobytes()
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        wanted = shared.value if shared.value is not None else _Every()
-        total: Counter = Counter()
-        close: Counter = Counter()
+def _members(table: DataFrame) -> DataFrame:
+    """(key, text_hash, n, bare, left, open) of the bands in which a text meets a longer one: ``open`` where the band is of
+    the text's longest signed prefix, so that it may be found cut there, ``left`` (all) where it may be the longer one.
+    Copies are one text. Bands are reduced to their longest and shortest first, so that the
+    many bands of one text are dropped by a count that combines before the shuffle."""
+    rows = table.where("not vocab and size(keys) > 0").select(
+        "text_hash", "n", "bare", F.size("keys").alias("of"), F.posexplode("keys").alias("i", "key")
+    )
+    rows = rows.select("key", "text_hash", "n", "bare", (F.col("i") >= F.col("of") - BANDS).alias("own"))
+    met = (
+        rows.groupBy("key")
+        .agg(F.max("n").alias("most"), F.min(F.when(F.col("own"), F.col("bare"))).alias("least"))
+        .where(F.col("most") >= F.col("least") + EARLY)
+        .select("key")
+    )
+    return written(rows.join(met, "key", "left_semi").groupBy("key", "text_hash").agg(F.max("n").alias("n"), F.max("bare").alias("bare"), F.lit(True).alias("left"), F.max("own").alias("open")))
+
+
+def early_copies(table: DataFrame, documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """(text_hash) of the texts that a longer copy shows to be cut.
+
+    First the longest text of each band is laid beside all others. Those it shows to be cut are done. Those that end
+    where it ends or before it need not be met as longer ones: a text cut beside one of them is cut beside the first. So a
+    family of near copies takes one round whatever its size. Texts still open then meet the longer ones that are left in
+    their bands, longest first, in rounds of FURTHER times as many, to the last; nothing is capped.
+    """
+    members = _members(table)
+    done = known = None
+    most = 1
+    while True:
+        order = Window.partitionBy("key").orderBy(F.desc("n"), "text_hash")
+        top = members.where("left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        top = top.select("key", F.col("text_hash").alias("long"), F.col("n").alias("long_n"))
+        fits = F.col("open") & (F.col("long_n") >= F.col("bare") + EARLY)
+        beside = members.join(top, "key").where("text_hash != long").withColumn("fits", fits)
+        active = written(beside.groupBy("key").agg(F.max("fits").alias("active")).where("active").select("key"))
+        if active.isEmpty():
+            break
+        laid = written((beside if most == 1 else beside.where("fits")).join(active, "key", "left_semi").select("key", "text_hash", "long"))
+        pairs = laid.select("text_hash", "long").distinct()
+        found = written(_verified(table, documents, pairs if known is None else pairs.join(known, ["text_hash", "long"], "left_anti"), doc, text))
+        known = pairs if known is None else known.union(pairs)
+        cut = found.where(F.col("relation") == ENDS_EARLY).select("text_hash").distinct()
+        done = cut if done is None else done.union(cut)
+        out = top.select("key", F.col("long").alias("text_hash"))
+        if most == 1:  # kin of the longest
+            out = out.union(laid.join(found, ["text_hash", "long"]).select("key", "text_hash"))
+        out = out.distinct().withColumn("out", F.lit(True))
+        here = members.join(active, "key", "left_semi").join(out, ["key", "text_hash"], "left").join(done.distinct().withColumn("over", F.lit(True)), "text_hash", "left")
+        members = written(
+            here.select("key", "text_hash", "n", "bare", (F.col("left") & F.col("out").isNull()).alias("left"), (F.col("open") & F.col("over").isNull()).alias("open")).where("left or open")
+        )
+        most *= FURTHER
+    return done.distinct() if done is not None else table.select("text_hash").limit(0)
+
+
+def _verified(table: DataFrame, documents: DataFrame, pairs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(text_hash, long, relation) of the ``pairs`` that are copies in some way."""
+    wanted = pairs.select("text_hash").union(pairs.select("long")).distinct()
+    texts = written(_texts_of(table, documents, wanted, doc, text))
+    both = pairs.join(texts.withColumnRenamed(text, "short_text"), "text_hash").join(texts.select(F.col("text_hash").alias("long"), F.col(text).alias("long_text")), "long")
 
-        def rows():
-            ws = list(total)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ws, pa.string()), pa.array([total[w] for w in ws], pa.int64()), pa.array([close[w] for w in ws], pa.int64())], ["word", "total", "closes"]
-            )
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
         for batch in batches:
-            a, b = closings((t for t in batch.column(0).to_pylist() if t), wanted)
-            total.update(a)
-            close.update(b)
-            if len(total) > 500_000:
-                yield rows()
-                total.clear()
-                close.clear()
-        if total:
-            yield rows()
-
-    counts = documents.select(text).mapInArrow(run, "word string, total long, closes long").groupBy("word").agg(F.sum("total").alias("total"), F.sum("closes").alias("closes"))
-    return counts if few else counts.join(listed, "word", "left_semi")
-
-
-class _Every:
-    def __contains__(self, word: str) -> bool:
-        return True
+            of = [relation(s, t) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            hits = pa.array([i for i, r in enumerate(of) if r != UNRELATED], pa.int64())
+            if len(hits):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(hits), batch.column(1).take(hits), pa.array([r for r in of if r != UNRELATED], pa.int32())], ["text_hash", "long", "relation"])
+
+    ordered = both.sortWithinPartitions("long").select("text_hash", "long", "short_text", "long_text")
+    return ordered.mapInArrow(run, "text_hash long, long long, relation int")
+
+
+#: Shares of a word's occurrences that close a sentence or line: the edges of the classes of terminality.
+RATES = (0.0, 0.01, 0.03, 0.1, 0.3)
+#: Occurrences beside its own that a word must have to be placed by its rate.
+SEEN = 2
+
+
+def _terminality(total, closes, kind):
+    """The class of a closing word: its form, with 0 for words hardly seen elsewhere, else the class of its rate."""
+    rest = F.coalesce(total, F.lit(0)) - 1
+    rate = F.coalesce(closes, F.lit(0)) / F.greatest(rest, F.lit(1))
+    of = F.lit(len(RATES) + 1)
+    for k, edge in reversed(list(enumerate(RATES))):
+        of = F.when(rate <= edge, k + 1).otherwise(of)
+    return kind * 8 + F.when(rest < SEEN, 0).otherwise(of)
+
+
+class Terminality:
+    """Ratios of closes: for a mark, a shape and a class of closing word, how often texts end so against how often the
+    same texts, cut at random, would. Counts run over all texts. A class of few observations leans on the wider one
+    (word class on shape, shape on what it is taken for before)."""
+
+    def __init__(self, cells: dict[tuple[int, int, int], tuple[int, int]]):
+        ends = sum(n for n, _ in cells.values())
+        cuts = sum(s for _, s in cells.values())
+        scale = ends / cuts if cuts else 1.0
+        wide: dict[tuple[int, int], list[float]] = {}
+        for (mark, shape, _), (n, s) in cells.items():
+            w = wide.setdefault((mark, shape), [0.0, 0.0])
+            w[0] += n
+            w[1] += s * scale
+        self.wide = {k: (n + WEIGHT * self.prior(*k)) / (s + WEIGHT) for k, (n, s) in wide.items()}
+        self.ratio = {k: (n + WEIGHT * self.wide[k[:2]]) / (s * scale + WEIGHT) for k, (n, s) in cells.items()}
+        # the share of cuts: the ratio of the closes that are most like random places, over half of these places
+        low = mass = 0.0
+        for k in sorted(self.ratio, key=self.ratio.get):
+            low, mass = low + cells[k][0], mass + cells[k][1] * scale
+            if mass * 2 >= ends:
+                break
+        self.share = low / mass if mass else 0.0
+        self.most = min(max(RATIO, 1.5 * self.share), 0.8)
+
+    @staticmethod
+    def prior(mark: int, shape: int) -> float:
+        return 4.0 if mark == STOP else PRIOR_SHAPE.get(shape, PRIOR.get(mark, 1.0))
+
+    def cut(self) -> list[tuple[int, int, int]]:
+        """The classes of closes that tell a cut."""
+        return [k for k, r in self.ratio.items() if r <= self.most]
+
+
+def _cut_closes(table: DataFrame) -> DataFrame:
+    """(mark, shape, kind, code) of the closes that tell a cut. Only counts of classes reach the driver, at most a few
+    thousand."""
+    vocabulary = table.where("vocab").groupBy(F.col("text_hash").alias("code")).agg(F.sum("n").alias("total"), F.sum("bare").alias("closes"))
+    texts = table.where("not vocab")
+    ends = texts.where("mark is not null").select("mark", "shape", "kind", "code", F.lit(1).alias("end"), F.lit(0).alias("cut"))
+    cuts = texts.where("at_mark is not null").select("at_mark", "at_shape", "at_kind", "at_code", F.lit(0), F.lit(1))
+    closes = ends.union(cuts).groupBy("mark", "shape", "kind", "code").agg(F.sum("end").alias("end"), F.sum("cut").alias("cut"))
+    placed = written(closes.join(vocabulary, "code", "left").withColumn("class", _terminality(F.col("total"), F.col("closes"), F.col("kind"))).drop("total", "closes"))
+    cells = placed.groupBy("mark", "shape", "class").agg(F.sum("end").alias("end"), F.sum("cut").alias("cut")).collect()
+    told = Terminality({(r["mark"], r["shape"], r["class"]): (r["end"], r["cut"]) for r in cells}).cut()
+    spark = table.sparkSession
+    return placed.join(spark.createDataFrame(told, "mark int, shape int, class int"), ["mark", "shape", "class"], "left_semi").select("mark", "shape", "kind", "code")
 
 
 def judge(documents: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc, source, cut, why): each non-blank text with whether it is cut and by what sign (copy, form or word)."""
+    """(doc, source, cut, why): each non-blank text with whether it is cut and by what sign (copy, word, mark)."""
     table = features(documents, doc, text, source)
-    early = _early_copies(table, documents, doc, text).withColumn("early", F.lit(True))
-    unsure = table.where(F.col("form") == OPEN).select(doc, "word")
-    doubtful = (
-        unsure.join(word_closings(documents, text, unsure), "word", "left")
-        .where((F.coalesce("total", F.lit(0)) >= KNOWN) & (F.col("closes") < TERMINAL * F.col("total")))
-        .select(doc)
-        .distinct()
-        .withColumn("doubtful", F.lit(True))
-    )
-    joined = table.select(doc, source, "text_hash", "form").join(early, "text_hash", "left").join(doubtful, doc, "left")
-    why = F.when(F.col("early"), "copy").when(F.col("form") == CUT, "form").when(F.col("doubtful"), "word")
+    early = early_copies(table, documents, doc, text).withColumn("early", F.lit(True))
+    open_ = _cut_closes(table).withColumn("open", F.lit(True))
+    joined = table.where("not vocab").select(doc, source, "text_hash", "marked", "mark", "shape", "kind", "code").join(early, "text_hash", "left").join(open_, ["mark", "shape", "kind", "code"], "left")
+    why = F.when(F.col("early"), "copy").when(F.col("open"), "word").when(F.col("marked"), "mark")
     return joined.select(doc, source, why.isNotNull().alias("cut"), why.alias("why"))
 
 
