@@ -11,14 +11,15 @@ empty result. Sites and skeletons are 64-bit hashes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import garble, residue, spam
 from . import lines as L
-from .tables import written
+from .tables import components, sifted, written
 
 #: Pages of a site that a line must be on to be a standing line of it.
 STANDING = 8
@@ -28,23 +29,25 @@ EVERYWHERE = 8
 SPAM_SHARE, SPAM_WORDS = 0.5, 12
 #: Pages that a worker handles at once; it bounds memory, not results.
 PART = 1000
-#: MinHash: words of a shingle, hashes, and how many of them must agree for a similarity of 0.8 or more.
-SHINGLE, HASHES, AGREE = 5, 8, 7
+#: Words of a shingle, hashes of a signature (four bands of two: lines at similarity 0.8 meet with probability 0.98), and
+#: the share of shingles that near copies have in common at least.
+SHINGLE, HASHES, SIMILAR = 5, 8, 0.8
 
 _LINES = (
-    "page_id long, site long, line_no int, skeleton long, first boolean, kind byte, words short, points float, spam short, "
-    "page_spam int, residue boolean, sig1 long, sig2 long"
+    "page_id long, site long, line_no int, skeleton long, first boolean, kind byte, words int, points float, spam int, "
+    "page_spam long, residue boolean, sig1 long, sig2 long"
 )
 
 
-#: Kinds of lines that link to other pages: their likeness is that of titles, not of standing lines.
-_UNSIGNED = (L.TITLE, L.LINK, L.PATH)
-
-
 class _Signer:
-    """MinHash signatures of lines on word shingles, with numbers and names masked, for a whole batch at once."""
+    """MinHash signatures of lines on word shingles, with numbers, dates and names masked, for a whole batch at once.
+
+    Names (words with a capital, but the first) are masked where the line is a sentence: it ends with a mark and has SHINGLE
+    words in small letters, and as many of them as names. There a name is a passing detail; in titles, links and by-lines it
+    is what the line says. Masks that follow each other are one. A line of fewer words than a shingle is one shingle.
+    """
 
-    NUMBER, NAME = 1, 2
+    NUMBER, NAME, PAD = 1, 2, 3
 
     def __init__(self):
         import numpy as np
@@ -55,80 +58,92 @@ class _Signer:
         self.a = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
         self.mix = rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.first: dict[str, int] = {}
-        self.other: dict[str, int] = {}
+        self.codes: dict[str, int] = {}
 
-    def _word(self, w: str, first: bool) -> int:
-        memory = self.first if first else self.other
-        code = memory.get(w)
+    def _word(self, w: str) -> int:
+        code = self.codes.get(w)
         if code is None:
-            if len(memory) > 500_000:
-                memory.clear()
-            if any(c.isdigit() for c in w):
+            if len(self.codes) > 500_000:
+                self.codes.clear()
+            low = w.lower()
+            plain = _DIGITS.sub("#", "".join(c for c in low if c.isascii() and c.isalnum()))
+            if plain in _MONTHS or "#" in plain and _ORDINAL.fullmatch(plain):
                 code = self.NUMBER
-            elif not first and w[:1].isupper():
-                code = self.NAME
-            else:
-                code = self.hash("".join(c for c in w.lower() if c.isascii() and c.isalnum())) | 8
-            memory[w] = code
+            else:  # the lowest bits tell a capital and a small letter
+                code = self.hash(plain or low) & ~15 | 8 | w[:1].isupper() << 1 | w[:1].islower()
+            self.codes[w] = code
         return code
 
-    def sign(self, lines: list[str]) -> tuple:
-        """Two 64-bit words of four 16-bit minima for each line, and whether it has a signature: lines of under SHINGLE
-        words, or mostly of names, have none. Words are split and numbered natively; only distinct words are hashed here."""
+    def shingles(self, lines: list[str]) -> tuple:
+        """(owner, shingle): the hashed shingles of each line, by line. Words are split and numbered natively; only distinct
+        words are hashed here."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         np = self.np
-        s1, s2, ok = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), np.zeros(len(lines), bool)
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         text = pc.utf8_trim_whitespace(pa.array([x.lower() if x.isupper() else x for x in lines], pa.string()))
         lists = pc.utf8_split_whitespace(text)
         lengths = np.where(np.asarray(pc.utf8_length(text)) > 0, np.asarray(pc.list_value_length(lists)), 0)
         flat = lists.flatten()
         flat = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
         if not len(flat):
-            return s1, s2, ok
-        number = np.asarray(flat.indices)
-        distinct = flat.dictionary.to_pylist()
-        tokens = np.array([self._word(w, False) for w in distinct], np.uint64)[number]
-        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-        opening = np.unique(number[starts])
-        code_first = np.zeros(len(distinct), np.uint64)
-        code_first[opening] = [self._word(distinct[i], True) for i in opening.tolist()]
-        tokens[starts] = code_first[number[starts]]
+            return none
+        tokens = np.array([self._word(w) for w in flat.dictionary.to_pylist()], np.uint64)[np.asarray(flat.indices)]
         line_of = np.repeat(np.arange(len(lines)), lengths)
-        name = tokens == self.NAME
+        word = tokens >= 8
+        name = word & (tokens & np.uint64(2) > 0)
+        name[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+        small = np.bincount(line_of, weights=word & (tokens & np.uint64(1) > 0), minlength=len(lines))
+        names = np.bincount(line_of, weights=name, minlength=len(lines))
+        sentence = np.array([x[-1:] in _ENDS for x in text.to_pylist()], bool)
+        passing = name & (sentence & (small >= SHINGLE) & (small >= names))[line_of]
+        tokens = np.where(passing, np.uint64(self.NAME), np.where(word, tokens & np.uint64(0xFFFFFFFFFFFFFFF0) | np.uint64(8), tokens))
         again = np.zeros(len(tokens), bool)
-        again[1:] = name[1:] & name[:-1] & (line_of[1:] == line_of[:-1])
-        tokens, line_of, name = tokens[~again], line_of[~again], name[~again]
+        again[1:] = (tokens[1:] == tokens[:-1]) & (tokens[1:] < 8) & (line_of[1:] == line_of[:-1])
+        tokens, line_of = tokens[~again], line_of[~again]
         count = np.bincount(line_of, minlength=len(lines))
-        names = np.bincount(line_of, weights=name, minlength=len(lines))
-        if len(tokens) < SHINGLE:
-            return s1, s2, ok
+        room = np.where(count > 0, np.maximum(count, SHINGLE), 0)
+        place = np.arange(len(tokens)) + np.repeat(np.cumsum(room) - room - (np.cumsum(count) - count), count)
+        filled = np.full(int(room.sum()), self.PAD, np.uint64)
+        filled[place] = tokens
+        line_of = np.repeat(np.arange(len(lines)), room)
+        n = len(filled) - SHINGLE + 1
         with np.errstate(over="ignore"):
-            n = len(tokens) - SHINGLE + 1
             shingle = np.zeros(n, np.uint64)
             for j in range(SHINGLE):
-                shingle = (shingle ^ tokens[j : j + n]) * self.mix[j]
+                shingle = (shingle ^ filled[j : j + n]) * self.mix[j]
                 shingle ^= shingle >> np.uint64(29)
-            whole = line_of[:n] == line_of[SHINGLE - 1 :]
-            shingle, owner = shingle[whole], line_of[:n][whole]
-            if not len(shingle):
-                return s1, s2, ok
-            starts = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
-            rows = owner[starts]
+        whole = line_of[:n] == line_of[SHINGLE - 1 :]
+        return line_of[:n][whole], shingle[whole]
+
+    def sign(self, lines: list[str]) -> tuple:
+        """Two 64-bit words of four 16-bit minima for each line, and whether it has a signature (all but empty ones)."""
+        np = self.np
+        s1, s2, ok = np.zeros(len(lines), np.int64), np.zeros(len(lines), np.int64), np.zeros(len(lines), bool)
+        owner, shingle = self.shingles(lines)
+        if not len(owner):
+            return s1, s2, ok
+        starts = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
+        rows = owner[starts]
+        with np.errstate(over="ignore"):
             minima = [np.minimum.reduceat((shingle * self.a[k] + self.b[k]) >> np.uint64(32), starts) & np.uint64(0xFFFF) for k in range(HASHES)]
         pack = lambda m: (m[0] | m[1] << np.uint64(16) | m[2] << np.uint64(32) | m[3] << np.uint64(48)).astype(np.int64)
-        s1[rows], s2[rows] = pack(minima[:4]), pack(minima[4:])
-        ok[rows] = (count[rows] - names[rows] >= SHINGLE) & (names[rows] * 2 <= count[rows])
+        s1[rows], s2[rows], ok[rows] = pack(minima[:4]), pack(minima[4:]), True
         return s1, s2, ok
 
 
-def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataFrame:
+_ENDS = frozenset(".!?:;…")
+_DIGITS = re.compile(r"\d+")
+_ORDINAL = re.compile(r"(?:#(?:st|nd|rd|th|er|de|e|h|am|pm)?)+")
+_MONTHS = frozenset(m for m in L.MONTHS if m not in ("may", "mar"))
+
+
+def line_table(pages: DataFrame, model: garble.PairModel) -> DataFrame:
     """One narrow row for each non-blank line of ``pages`` (page_id, url, title, text_content). Garbled text is restored
     before lines are compared. Written to the shared folder; no shuffle."""
     slim = pages.select("page_id", F.xxhash64(L.site_of(F.col("url"))).alias("site"), L.site_of(F.col("url")).isNotNull().alias("hosted"), "title", "text_content")
-    shared = pages.sparkSession.sparkContext.broadcast(model or garble.PairModel.fit(slim, ["title", "text_content"]))
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -163,7 +178,7 @@ def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataF
                     k = L.kind(line, norm, title)
                     kinds.append(k)
                     points.append(1.0 + line.count(",") + min(len(line) / 100, 3.0) if k <= L.LIST and len(norm) > 20 else 0.0)
-                    raw.append("" if k in _UNSIGNED else line)
+                    raw.append(line)
                 numbers += [i for i, _ in numbered]
                 words += [n for n, _ in counts]
                 spams += [n for _, n in counts]
@@ -182,10 +197,10 @@ def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataF
                     pa.array(np.array(keys, np.uint64).astype(np.int64)),
                     pa.array(firsts, pa.bool_()),
                     pa.array(kinds, pa.int8()),
-                    pa.array(np.minimum(words, 32000).astype(np.int16)),
+                    pa.array(words, pa.int32()),
                     pa.array(points, pa.float32()),
-                    pa.array(np.minimum(spams, 32000).astype(np.int16)),
-                    pa.array(c[2], pa.int32()).take(rows),
+                    pa.array(spams, pa.int32()),
+                    pa.array(c[2], pa.int64()).take(rows),
                     pa.array(c[3], pa.bool_()).take(rows),
                     pa.array(s1, mask=~ok),
                     pa.array(s2, mask=~ok),
@@ -196,54 +211,100 @@ def line_table(pages: DataFrame, model: garble.PairModel | None = None) -> DataF
     return written(slim.mapInArrow(run, _LINES))
 
 
-def _agreement(a: str, b: str) -> Column:
-    """How many of the HASHES 16-bit minima of two signatures agree."""
-    same = F.lit(0)
-    for s in ("sig1", "sig2"):
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        for k in range(4):
-            same = same + F.when(F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0)
-    return same
-
-
-def line_groups(table: DataFrame) -> DataFrame:
+def line_groups(table: DataFrame, pages: DataFrame, model: garble.PairModel) -> DataFrame:
     """(site, skeleton, cluster): lines that may stand, each with the cluster it counts for.
 
-    Equal skeletons are counted first. What is left is clustered within its site by locality-sensitive hashing: four
-    bands of two minima; in a bucket that together is on enough pages, each line joins the bucket's most frequent one if
-    seven of eight minima agree. Buckets too rare to reach the threshold are dropped before any pair is made, and a
-    bucket makes one pair a line, so no bucket is squared.
+    Lines of one skeleton are copies: one of them stands for all. The skeletons of a site are clustered by
+    locality-sensitive hashing (four bands of two minima); the similarity of each pair is then verified on its shingles,
+    and clusters are the connected components. A skeleton without near copies is a cluster of its own.
     """
-    counts = (
+    counts = written(
         table.where("first and not residue and site is not null")
         .groupBy("site", "skeleton")
-        .agg(F.count("*").alias("pages"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2"))
-    )
-    exact = counts.where(F.col("pages") >= STANDING).select("site", "skeleton", F.col("skeleton").alias("cluster"))
-    member = F.struct("pages", "skeleton", "sig1", "sig2")
-    bands = counts.where("sig1 is not null").select(
-        "site",
-        member.alias("m"),
-        F.posexplode(
-            F.array(*(F.shiftrightunsigned(F.col(s), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF)) for s in ("sig1", "sig2") for half in (0, 1)))
-        ).alias("band", "value"),
-    )
-    buckets = (
-        bands.groupBy("site", "band", "value")
-        .agg(F.count("*").alias("n"), F.sum("m.pages").alias("total"), F.max("m").alias("top"))
-        .where((F.col("n") > 1) & (F.col("total") >= STANDING))
-        .select("site", "band", "value", "top")
-    )
-    near = (
-        bands.join(buckets, ["site", "band", "value"])
-        .where(_agreement("m", "top") >= AGREE)
-        .groupBy("site", F.col("m.skeleton").alias("skeleton"))
-        .agg(F.max("top").alias("top"))
-        .select("site", "skeleton", F.col("top.skeleton").alias("cluster"))
-    )
-    return near.unionByName(exact).groupBy("site", "skeleton").agg(F.max(F.struct((F.col("cluster") != F.col("skeleton")).alias("c"), "cluster")).alias("c")).select(
-        "site", "skeleton", "c.cluster"
+        .agg(F.count("*").alias("pages"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2"), F.min(F.struct("page_id", "line_no")).alias("at"))
     )
+    near = near_lines(counts, pages, model)
+    alone = counts.where(F.col("pages") >= STANDING).select("site", "skeleton", F.col("skeleton").alias("cluster")).join(near, ["site", "skeleton"], "left_anti")
+    return near.unionByName(alone)
+
+
+#: Lines of a bucket that the others are laid beside in the first round, and how many times as many in each further one.
+FIRST, FURTHER = 1, 64
+
+
+def near_lines(counts: DataFrame, pages: DataFrame, model: garble.PairModel) -> DataFrame:
+    """(site, skeleton, cluster) of the lines of ``counts`` (site, skeleton, pages, sig1, sig2, at) with near copies on their
+    site. In each bucket the lines are laid beside its most frequent one, then beside the next ones, to the last, but for
+    pairs that are of one component already; so a bucket of one family takes one round."""
+    bits = (F.shiftrightunsigned(F.col(s), 32 * half).bitwiseAND(F.lit(0xFFFFFFFF)) for s in ("sig1", "sig2") for half in (0, 1))
+    bands = counts.where("sig1 is not null").select("site", "skeleton", "pages", "at", F.posexplode(F.array(*bits)).alias("band", "value"))
+    bucket = ["site", "band", "value"]
+    shared = bands.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket)
+    members = bands.join(shared, bucket, "left_semi")
+    enough = members.select("site", "skeleton", "pages").distinct().groupBy("site").agg(F.sum("pages").alias("all")).where(F.col("all") >= STANDING)
+    order = Window.partitionBy(*bucket).orderBy(F.desc("pages"), "skeleton")
+    members = written(members.join(enough.select("site"), "site", "left_semi").withColumn("place", F.row_number().over(order)))
+    shingles = written(_shingles_of(members.select("site", "skeleton", "at.page_id", "at.line_no").distinct(), pages, model))
+    most, before = FIRST, 0
+    edges = labels = None
+    last = members.agg(F.max("place")).first()[0] or 0
+    while before < last:
+        top = members.where(F.col("place").between(before + 1, most)).select(*bucket, F.col("skeleton").alias("other"), F.col("place").alias("at_place"))
+        pairs = members.join(top, bucket).where("place > at_place").select("site", "skeleton", "other").distinct()
+        if labels is not None:
+            pairs = (
+                pairs.join(labels, ["site", "skeleton"], "left")
+                .join(labels.select("site", F.col("skeleton").alias("other"), F.col("label").alias("label2")), ["site", "other"], "left")
+                .where("label is null or label2 is null or label != label2")
+                .select("site", "skeleton", "other")
+            )
+        both = pairs.join(shingles, ["site", "skeleton"]).join(shingles.select("site", F.col("skeleton").alias("other"), F.col("shingles").alias("theirs")), ["site", "other"])
+        common = F.size(F.array_intersect("shingles", "theirs"))
+        found = written(both.where(common >= SIMILAR * (F.size("shingles") + F.size("theirs") - common)).select("site", "skeleton", "other"))
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges, "site", "skeleton", "other")
+        before, most = most, most * FURTHER
+    if labels is None:
+        return counts.select("site", "skeleton", F.col("skeleton").alias("cluster")).limit(0)
+    return labels.withColumnRenamed("label", "cluster")
+
+
+def _shingles_of(lines: DataFrame, pages: DataFrame, model: garble.PairModel) -> DataFrame:
+    """(site, skeleton, shingles): the distinct shingles of each of ``lines`` (site, skeleton, page_id, line_no). Only the
+    pages that hold one are read on."""
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+    of = lines.groupBy("page_id").agg(F.collect_list(F.struct("site", "skeleton", "line_no")).alias("lines"))
+    held = sifted(pages.select("page_id", "text_content"), "page_id", of.select("page_id")).join(of, "page_id").select("text_content", "lines")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        signer = _Signer()
+        repair = shared.value.repair
+        for batch in batches:
+            texts, sites, skeletons = [], [], []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text:
+                    continue
+                held = dict(L.site_lines(repair(text)[0]))
+                mine = [x for x in wanted if x["line_no"] in held]
+                texts += [held[x["line_no"]] for x in mine]
+                sites += [x["site"] for x in mine]
+                skeletons += [x["skeleton"] for x in mine]
+            owner, shingle = signer.shingles(texts)
+            if not len(owner):
+                continue
+            key = np.unique(np.stack([owner.astype(np.uint64), shingle]), axis=1)
+            offsets = np.searchsorted(key[0], np.arange(len(texts) + 1, dtype=np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sites, pa.int64()), pa.array(skeletons, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[1].astype(np.int64)))],
+                ["site", "skeleton", "shingles"],
+            )
+
+    # a page_id of several rows may hold other lines at these numbers: the largest set is taken
+    rows = held.mapInArrow(run, "site long, skeleton long, shingles array<long>")
+    return rows.groupBy("site", "skeleton").agg(F.max_by("shingles", F.size("shingles")).alias("shingles"))
 
 
 def _on_enough_pages(rows: DataFrame) -> DataFrame:
@@ -266,8 +327,9 @@ class Site:
     """What the line table says, computed once: standing lines, spam pages and the remaining good pages' lines."""
 
     def __init__(self, pages: DataFrame):
-        self.table = line_table(pages)
-        self.groups = written(line_groups(self.table))
+        model = garble.PairModel.fit(pages, ["title", "text_content"])
+        self.table = line_table(pages, model)
+        self.groups = written(line_groups(self.table, pages, model))
         counted = self.table.where("not residue").select("page_id", "site", "skeleton").join(self.groups, ["site", "skeleton"])
         first = _on_enough_pages(counted)
         self.spam = written(spam_pages(self.table, self.groups.join(first, ["site", "cluster"], "left_semi")))
@@ -314,17 +376,22 @@ def body(pages: DataFrame) -> DataFrame:
     return drop_lines(pages, outside_body(pages))
 
 
+#: Words of a short line found on many sites that make it a link of every page.
+FEW = 6
+#: A block scores as part of the body from this share of the best one's points.
+SIBLING = 0.02
+
+
 def outside_body(pages: DataFrame) -> DataFrame:
     """(page_id, line_no) of the non-blank lines outside the main body of each page that is neither spam nor residue.
 
-    A page is read as a tree: furniture (standing lines of the site, short lines found on many sites, and lines that are
-    links, paths, legal or cookie notices by their form) parts it into blocks of lines. Paragraphs pass points for length
-    and commas to their block in full and to the page by half; points are discounted by the share of link words. The best
-    container and the siblings that score, or hold headings, verses and lists beside them, are the body.
+    A page is read as a tree of blocks of lines (:func:`body_outside`). Each line brings points for its length and commas
+    and its link density: 1 for lines that lead elsewhere or serve the page (standing lines of the site, short lines found
+    on many sites, and links, paths, legal and cookie notices by their form), else 0.
     """
     site = Site(pages)
     everywhere = (
-        site.table.where(F.col("first") & (F.col("words") <= 6) & F.col("kind").isin(L.SHORT, *L.FURNITURE))
+        site.table.where(F.col("first") & (F.col("words") <= FEW) & F.col("kind").isin(L.SHORT, *L.FURNITURE))
         .select("skeleton", "site")
         .distinct()
         .groupBy("skeleton")
@@ -332,27 +399,18 @@ def outside_body(pages: DataFrame) -> DataFrame:
         .where(F.col("sites") >= EVERYWHERE)
         .select("skeleton", F.lit(True).alias("everywhere"))
     )
-    furniture = (
+    linked = (
         F.coalesce("standing", F.lit(False))
         | F.col("kind").isin(*L.FURNITURE)
-        | (F.coalesce("everywhere", F.lit(False)) & (F.col("words") <= 6) & (F.col("kind") == L.SHORT))
+        | (F.coalesce("everywhere", F.lit(False)) & (F.col("words") <= FEW) & (F.col("kind") == L.SHORT))
     )
-    flagged = (
+    leaves = (
         site.good.select("page_id", "line_no", "site", "skeleton", "kind", "words", "points")
         .join(site.standing_skeletons().withColumn("standing", F.lit(True)), ["site", "skeleton"], "left")
         .join(everywhere, "skeleton", "left")
-        .select(
-            "page_id",
-            (
-                F.shiftleft(F.col("line_no").cast("long"), 32)
-                + F.shiftleft(F.col("kind").cast("long"), 28)
-                + F.shiftleft(furniture.cast("long"), 27)
-                + F.shiftleft(F.least("words", F.lit(4095)).cast("long"), 15)
-                + F.least(F.round(F.col("points") * 10), F.lit(32767)).cast("long")
-            ).alias("line"),
-        )
+        .select("page_id", F.struct("line_no", "kind", "words", "points", linked.alias("linked")).alias("line"))
     )
-    by_page = flagged.groupBy("page_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    by_page = leaves.groupBy("page_id").agg(F.collect_list("line").alias("lines"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -361,8 +419,10 @@ def outside_body(pages: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            packed = np.asarray(lists.flatten())
-            columns = [(packed >> at & mask).tolist() for at, mask in ((32, 0x7FFFFFFF), (28, 15), (15, 4095), (0, 32767), (27, 1))]
+            line = lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), np.diff(ends))
+            order = np.lexsort((np.asarray(line.field("line_no")), owner))
+            columns = [line.field(name).take(pa.array(order)).to_pylist() for name in ("line_no", "kind", "words", "points", "linked")]
             ids, nos = [], []
             for page, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 outside = body_outside(list(zip(*(c[a:b] for c in columns))))
@@ -375,32 +435,40 @@ def outside_body(pages: DataFrame) -> DataFrame:
 
 
 def body_outside(lines: list[tuple]) -> list[int]:
-    """Numbers of the lines outside the body, from (number, kind, words, points, furniture) in order of number."""
+    """Numbers of the lines outside the body, from (number, kind, words, points, link density) in order of number.
+
+    Leaves pass their points, discounted by their link density, to their block; a leaf of links alone passes nothing and
+    ends the block. A block's points are discounted by the link density of its container, that is of the block with the
+    links on both its sides. The best block is the body, with those siblings whose points reach SIBLING of it and what
+    lies between them, and with headings, lists and verses beside them.
+    """
     blocks: list[list[tuple]] = []
-    total = links = 0
+    links = [0]  # words of links before the first block, between blocks, and after the last
     open_block = False
     for line in lines:
-        total += line[2]
-        if line[4]:
-            links += line[2]
+        if line[4] >= 0.5:
+            links[-1] += line[2]
             open_block = False
             continue
         if not open_block:
             blocks.append([])
+            links.append(0)
             open_block = True
         blocks[-1].append(line)
-    outside = [n for n, _, _, _, furniture in lines if furniture]
+    outside = [line[0] for line in lines if line[4] >= 0.5]
     if not blocks:
         return outside
-    score = [sum(x[3] for x in b) for b in blocks]
-    root = 0.5 * sum(score) * (1 - links / max(total, 1))
+    score = []
+    for i, block in enumerate(blocks):
+        own = sum(x[2] for x in block)
+        beside = (links[i] + links[i + 1]) / 2
+        score.append(sum(x[3] * (1 - x[4]) for x in block) * own / max(own + beside, 1))
     best = max(range(len(blocks)), key=lambda i: score[i])
     if score[best] <= 0:  # no paragraph anywhere: the longest block of lines is the body
         best = max(range(len(blocks)), key=lambda i: sum(x[2] for x in blocks[i]))
         keep = [i == best or any(x[1] in (L.TITLE, L.LIST) for x in b) for i, b in enumerate(blocks)]
     else:
-        least = 0.0 if root >= score[best] else 0.02 * score[best]
-        scoring = [i for i, s in enumerate(score) if s > least]
+        scoring = [i for i, s in enumerate(score) if s > SIBLING * score[best]]
         low, high = scoring[0], scoring[-1]
         keep = []
         for i, b in enumerate(blocks):

@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import sifted, written
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of minima that each signed prefix has: a pair of prefixes at similarity 0.8 meets with probability 0.994, at 0.67
@@ -360,42 +360,11 @@ def _places(text: str) -> tuple[int, dict[tuple, list[int]]]:
     return len(b), places
 
 
-#: Cells of the sieve that keeps the texts of candidates; a cell that is hit by chance costs a row in a join.
-CELLS = 1 << 25
-
-
 def _texts_of(table: DataFrame, documents: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
-    """(text_hash, text) for the ``wanted`` (text_hash): one document of each, sifted before any shuffle. The sieve is a
-    bit map of CELLS bits however many are wanted."""
+    """(text_hash, text) for the ``wanted`` (text_hash): one document of each, sifted before any shuffle."""
     of = table.where("not vocab").join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.min(doc).alias(doc))
     of = written(of.where(F.col(doc).isNotNull()))
-    cell = F.pmod(F.xxhash64(doc), F.lit(CELLS)).cast("int")
-    bit = F.expr("shiftleft(1L, cell & 63)")
-    maps = of.select(cell.alias("cell")).groupBy(F.expr("cell >> 6").alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
-    shared = documents.sparkSession.sparkContext.broadcast(_sieve((r["at"], r["bits"]) for r in maps))
-    slim = documents.select(doc, text, cell.alias("cell"))
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        sieve = np.frombuffer(shared.value, np.uint64)
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = np.nonzero(sieve[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))[0]
-            if len(hit):
-                yield batch.take(pa.array(hit))
-
-    return slim.mapInArrow(run, slim.schema).drop("cell").join(of, doc).select("text_hash", text)
-
-
-def _sieve(maps) -> bytes:
-    import numpy as np
-
-    words = np.zeros(CELLS >> 6, np.int64)
-    for at, bits in maps:
-        words[at] = bits
-    return words.tobytes()
+    return sifted(documents.select(doc, text), doc, of).join(of, doc).select("text_hash", text)
 
 
 def _members(table: DataFrame) -> DataFrame:
