@@ -35,7 +35,7 @@ SHINGLE, HASHES, SIMILAR = 5, 8, 0.8
 
 _LINES = (
     "page_id long, site long, line_no int, skeleton long, first boolean, kind byte, words int, points float, spam int, "
-    "page_spam long, residue boolean, sig1 long, sig2 long"
+    "page_spam long, page_words long, out_links int, residue boolean, sig1 long, sig2 long"
 )
 
 
@@ -142,7 +142,7 @@ _MONTHS = frozenset(m for m in L.MONTHS if m not in ("may", "mar"))
 def line_table(pages: DataFrame, model: garble.PairModel) -> DataFrame:
     """One narrow row for each non-blank line of ``pages`` (page_id, url, title, text_content). Garbled text is restored
     before lines are compared. Written to the shared folder; no shuffle."""
-    slim = pages.select("page_id", F.xxhash64(L.site_of(F.col("url"))).alias("site"), L.site_of(F.col("url")).isNotNull().alias("hosted"), "title", "text_content")
+    slim = pages.select("page_id", F.xxhash64(L.site_of(F.col("url"))).alias("site"), L.site_of(F.col("url")).isNotNull().alias("hosted"), "title", "text_content", F.size(F.coalesce("out_links", F.array().cast("array<string>"))).alias("out_links"))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -154,11 +154,11 @@ def line_table(pages: DataFrame, model: garble.PairModel) -> DataFrame:
         repair = shared.value.repair
         signer = _Signer()
         for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
-            ids, sites, hosted, titles, texts = (c.to_pylist() for c in batch.columns)
+            ids, sites, hosted, titles, texts, linked = (c.to_pylist() for c in batch.columns)
             of_page: list[tuple] = []
             counted: list[int] = []
             numbers, keys, firsts, kinds, words, points, spams, raw = [], [], [], [], [], [], [], []
-            for page, site, host, title, text in zip(ids, sites, hosted, titles, texts):
+            for page, site, host, title, text, out in zip(ids, sites, hosted, titles, texts, linked):
                 if not text or text.isspace():
                     continue
                 held = residue.residue(text) is not None
@@ -182,7 +182,7 @@ def line_table(pages: DataFrame, model: garble.PairModel) -> DataFrame:
                 numbers += [i for i, _ in numbered]
                 words += [n for n, _ in counts]
                 spams += [n for _, n in counts]
-                of_page.append((page, site if host else None, sum(n for _, n in counts), held))
+                of_page.append((page, site if host else None, sum(n for _, n in counts), sum(n for n, _ in counts), out, held))
                 counted.append(len(numbered))
             if not keys:
                 continue
@@ -200,8 +200,7 @@ def line_table(pages: DataFrame, model: garble.PairModel) -> DataFrame:
                     pa.array(words, pa.int32()),
                     pa.array(points, pa.float32()),
                     pa.array(spams, pa.int32()),
-                    pa.array(c[2], pa.int64()).take(rows),
-                    pa.array(c[3], pa.bool_()).take(rows),
+                    *(pa.array(x, k).take(rows) for x, k in zip(c[2:], (pa.int64(), pa.int64(), pa.int32(), pa.bool_()))),
                     pa.array(s1, mask=~ok),
                     pa.array(s2, mask=~ok),
                 ],
@@ -313,14 +312,31 @@ def _on_enough_pages(rows: DataFrame) -> DataFrame:
     return rows.select("site", "cluster", "page_id").distinct().groupBy("site", "cluster").agg(F.count("*").alias("pages")).where(F.col("pages") >= STANDING)
 
 
+#: Words of a page for each of its links up to which its links count as many.
+WORDS_A_LINK = 8
+
+
 def spam_pages(table: DataFrame, standing: DataFrame) -> DataFrame:
-    """(page_id) of spam: pages whose lines, apart from standing lines and furniture, are mostly spam words. Only pages
-    with enough spam words at all are looked at."""
-    some = table.where(F.col("page_spam") >= SPAM_WORDS).select("page_id", "site", "skeleton", "kind", "words", "spam")
+    """(page_id) of spam: pages whose lines, apart from standing lines and furniture, are mostly spam words; and pages with
+    a link for WORDS_A_LINK words or fewer, whose own lines are mostly no sentences and not more than the links. Only pages
+    with enough spam words or links at all are looked at."""
+    many = ~F.col("residue") & (F.col("out_links") * WORDS_A_LINK >= F.col("page_words"))
+    some = table.where((F.col("page_spam") >= SPAM_WORDS) | many).select("page_id", "site", "skeleton", "kind", "words", "spam", "out_links", many.alias("many"))
     own = some.join(standing.select("site", "skeleton"), ["site", "skeleton"], "left_anti")
-    own = own.where(~F.col("kind").isin(*L.FURNITURE) | (F.col("spam") > 0))
-    sums = own.groupBy("page_id").agg(F.sum("words").alias("words"), F.sum("spam").alias("spam"))
-    return sums.where((F.col("spam") >= SPAM_WORDS) & (F.col("spam") >= SPAM_SHARE * F.col("words"))).select("page_id")
+    judged = ~F.col("kind").isin(*L.FURNITURE) | (F.col("spam") > 0)
+    listed = F.col("kind").isin(L.SHORT, L.LINK, L.PATH)
+    sums = own.groupBy("page_id").agg(
+        F.sum(F.when(judged, F.col("words")).otherwise(0)).alias("words"),
+        F.sum("spam").alias("spam"),
+        F.sum("words").alias("all"),
+        F.sum(F.when(listed, F.col("words")).otherwise(0)).alias("listed"),
+        F.count_if(listed).alias("lines"),
+        F.max("many").alias("many"),
+        F.max("out_links").alias("out_links"),
+    )
+    stuffed = (F.col("spam") >= SPAM_WORDS) & (F.col("spam") >= SPAM_SHARE * F.col("words"))
+    list_of_links = F.col("many") & (F.col("lines") >= SPAM_WORDS) & (F.col("lines") <= F.col("out_links")) & (F.col("listed") >= SPAM_SHARE * F.col("all"))
+    return sums.where(stuffed | list_of_links).select("page_id")
 
 
 class Site:

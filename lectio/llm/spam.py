@@ -2,15 +2,16 @@
 
 Each line of a page is judged by its words and by the page's recurrences. Two signs make a line spam:
 
+* *unnaturally regular recurrence*: the positional autocorrelation of the page's pairs of neighbouring content words, as a
+  profile over the lags up to a window, holds much of the page; and a pair of the line comes back at gaps that are short
+  and even, again and again;
 * *lists without function words*: nearly all words are common nouns, verbs and adjectives in small letters, hash tags,
-  product codes or addresses, with no function words between them;
-* *unnaturally regular recurrence*: the positional autocorrelation of the page's pairs of neighbouring content words,
-  over lags up to a window, is high (the same pair comes back after a short gap, again and again), and the line takes
-  part in it.
+  product codes or addresses, with no function words between them.
 
-A page is spam where spam lines hold most of the words that are not standing lines of its site. Litanies repeat function
-words and single nouns but no pairs of content words; lists of works are names and titles in capitals; glossaries and
-essays on one word are sentences.
+A page is spam where spam lines hold most of the words that are not standing lines of its site, or where lines that are
+no sentences do and its ``out_links`` are as many as these lines. Litanies repeat function words and single nouns but no
+pairs of content words; lists of works are names and titles without as many links; glossaries and essays on one word are
+sentences.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import re
 
 from .lines import FUNCTION_WORDS, normal
 
-#: Content words between two occurrences that still count as a short gap.
+#: The largest lag, in words, of the autocorrelation.
 WINDOW = 48
-#: Autocorrelation of content pairs from which a page counts as regular; running text stays under a third of it.
+#: Sum of the profile from which a page counts as regular; running text stays under a third of it.
 REGULAR = 0.10
-#: A page whose share of distinct words is above this repeats too little to be regular.
-VARIED = 0.5
+#: Gaps of a pair are regular where so many of them are within the window, at least three, and their deviation is at most
+#: so many times their mean (1 for places at random).
+WITHIN, EVEN = 0.6, 1.5
 
 _LINK = re.compile(r"https?://\S+|www\.\S+|(?<!\w)#\w+")
 _PRODUCT = re.compile(
@@ -44,9 +46,10 @@ def _content(line: str) -> list[str]:
     return out
 
 
-def autocorrelation(content: list[str]) -> tuple[float, set[tuple[str, str]]]:
-    """For content words in order ("" where another word or a line end stands between): the share of neighbouring pairs
-    that occur again within a lag of WINDOW words, and the pairs that do so at least three times and mostly."""
+def autocorrelation(content: list[str]) -> tuple[list[float], set[tuple[str, str]]]:
+    """For content words in order ("" where another word or a line end stands between): the autocorrelation of neighbouring
+    pairs at lags 1 to WINDOW (the share of places whose pair came last so many words before), and the pairs whose gaps
+    are short and even."""
     last: dict[tuple[str, str], int] = {}
     gaps: dict[tuple[str, str], list[int]] = {}
     n = 0
@@ -61,13 +64,17 @@ def autocorrelation(content: list[str]) -> tuple[float, set[tuple[str, str]]]:
         if pair in last:
             gaps.setdefault(pair, []).append(i - last[pair])
         last[pair] = i
-    back, strong = 0, set()
+    profile = [0] * (WINDOW + 1)
+    regular = set()
     for pair, g in gaps.items():
-        near = sum(x <= WINDOW for x in g)
-        back += near
-        if near >= 3 and near >= 0.6 * len(g):
-            strong.add(pair)
-    return (back / n if n else 0.0), strong
+        near = [x for x in g if x <= WINDOW]
+        for x in near:
+            profile[x] += 1
+        if len(near) >= 3 and len(near) >= WITHIN * len(g):
+            mean = sum(near) / len(near)
+            if sum((x - mean) ** 2 for x in near) <= (EVEN * mean) ** 2 * len(near):
+                regular.add(pair)
+    return [x / n for x in profile[1:]] if n else [0.0] * WINDOW, regular
 
 
 def spam_words(lines: list[str], norms: list[str]) -> list[tuple[int, int]]:
@@ -78,13 +85,13 @@ def spam_words(lines: list[str], norms: list[str]) -> list[tuple[int, int]]:
     total = sum(map(len, words))
     strong: set[tuple[str, str]] = set()
     content: list[list[str]] = []
-    if total >= 12 and len(set().union(*words)) <= VARIED * total:
+    if total >= 12:
         rough = [w for ws in words for w in (*("" if w in FUNCTION_WORDS or w[0] == "#" else w for w in ws), "")]
-        share, pairs = autocorrelation(rough)
-        if share >= REGULAR:  # marks only take pairs away, so they are looked at for such pages alone
+        profile, pairs = autocorrelation(rough)
+        if pairs and sum(profile) >= REGULAR:  # marks only take pairs away, so they are looked at for such pages alone
             content = [_content(line) for line in lines]
-            share, pairs = autocorrelation([w for cs in content for w in cs])
-        if share >= REGULAR:
+            profile, pairs = autocorrelation([w for cs in content for w in cs])
+        if pairs and sum(profile) >= REGULAR:
             text = " ".join(lines)
             low = text.lower()
             named = lambda a, b: text.count(f"{a.capitalize()} {b.capitalize()}") > 0.6 * max(1, low.count(f"{a} {b}"))

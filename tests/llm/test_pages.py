@@ -58,7 +58,7 @@ def test_a_garbled_copy_counts_as_what_it_was(spark):
 
 def test_near_lines_join_by_hashing(spark):
     base = "About the house of this name: the law of grace and the order of reason rule here as they have done for many hundred years and will"
-    rows = [page(i, "a.example", False, [base + (" always" if i % 2 else " ever") + " do so among us all in this quiet place of prayer and of work", para()]) for i in range(10)]
+    rows = [page(i, "a.example", False, [base + (" always" if i % 2 else " ever") + " do so among us all in this quiet place of prayer and of work, where each guest who comes in peace may read the old books of the hall by the light of day", para()]) for i in range(10)]
     got = rows_of(pages.standing_lines(table(spark, rows)))
     assert [p for p, _ in got] == list(range(10))
 
@@ -122,3 +122,57 @@ def test_texts_of_bodies(spark):
     rows = [page(i, "a.example") for i in range(8)] + [(90, "https://a.example/n", None, None, None, None, None, None, None)]
     got = {r.page_id: r.text for r in pages.body(table(spark, rows)).collect()}
     assert got[90] is None and all(got[i].startswith("On ") or got[i].startswith("\r\nOn ") for i in range(8)) and not any("Next" in (t or "") for t in got.values())
+
+
+def test_near_lines_have_the_recall_of_brute_force(spark):
+    """Pairs of lines of one site at a similarity of 0.8 or more, by hashing and by comparing all."""
+    import random
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from lectio.llm import garble
+
+    rng = random.Random(2)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(30, 80))]
+        for _ in range(4):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.choice((1, 1, 2))):
+                words[at] = rng.choice(vocabulary)
+            lines.append(" ".join(words))
+    rows = [page(i, "a.example", False, [x]) for i, x in enumerate(lines)]
+    df = table(spark, rows)
+    signer = pages._Signer()
+    owner, shingle = signer.shingles(lines)
+    sets = [set(shingle[owner == i].tolist()) for i in range(len(lines))]
+    parent = list(range(len(lines)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    model = garble.PairModel.fit(df, ["title", "text_content"])
+    got = pages.line_table(df, model)
+    counts = got.groupBy("site", "skeleton").agg(F.count("*").alias("pages"), F.first("sig1").alias("sig1"), F.first("sig2").alias("sig2"), F.min(F.struct("page_id", "line_no")).alias("at"))
+    label = {r.page_id: r.cluster for r in got.join(pages.near_lines(counts, df, model), ["site", "skeleton"]).select("page_id", "cluster").collect()}
+    met = [label.get(i) is not None and label.get(i) == label.get(j) for i, j in near]
+    assert len(near) > 100 and sum(met) >= 0.95 * len(near)
+
+
+def test_names_are_passing_details_of_sentences_only():
+    signer = pages._Signer()
+    same = lambda a, b: signer.shingles([a])[1].tolist() == signer.shingles([b])[1].tolist()
+    assert same("This page was last read by Anna Holm on 3 May 2020.", "This page was last read by Otto Berg on 11 June 1999.")
+    assert not same("On the grace and the law of hope by Anna Holm", "On the grace and the law of hope by Otto Berg")
+    assert same("Printed on 3 March 2020", "Printed on 11 June 1999") and not same("http://a-shop1.example/1", "http://b-shop1.example/1")
+    assert len(signer.shingles(["one", "", "слово"])[1]) == 2 and not same("слово", "дело")
+
+
+def test_long_lines_keep_their_weight():
+    long = [(0, 0, 90_000, 5000.5, 0.0), (1, 4, 9, 0.0, 1.0), (2, 0, 30, 6.0, 0.0)]
+    assert pages.body_outside(long) == [1, 2]
