@@ -2,11 +2,12 @@
 
 1. Adjacent character pairs with a non-ASCII member are counted over the whole corpus, and each pair gets a smoothed
    pointwise mutual information (:class:`PairModel`).
-2. In a value, each run of non-ASCII characters is scored with its neighbours; a run that touches no maximum-scoring
-   segment of improbability (lacking mutual information) is left alone.
-3. Only inside the other runs are inverse mappings tested: bytes of the run under a wrong decoding, read again as UTF-8
-   (once to three times), or as the Western single-byte encoding. A mapping is taken where it makes the pairs clearly
-   more probable.
+2. The pairs around each run of non-ASCII characters score by their improbability (lacking mutual information); the
+   maximum-scoring segments of these scores are the suspect runs (:meth:`PairModel.segments`). Pairs of ASCII characters
+   count as probable, so a segment may bridge them; characters outside all segments are left alone.
+3. Only inside the segments are inverse mappings tested: the bytes under a wrong decoding, read again as UTF-8 (once to
+   three times), or as the Western single-byte encoding. A segment is bounded by pairs, so its first and last character
+   may be right, or be part of bytes that go on: they are tried with, without, and out to the next ASCII character. A mapping is taken where it makes the pairs clearly more probable.
 
 A value is affected if a run has such an inverse, or holds a replacement character (U+FFFD) or a C1 control, for which
 no original can be had. Foreign words, accented capitals, symbols and other scripts that are meant have no inverse that
@@ -40,10 +41,15 @@ DROP = 3.6
 DEEPER = 3.0
 #: Taken off where the restored text has a character that the corpus never has.
 UNSEEN = 3.0
+#: Letters of a run up to which every mixture of letter case is tried (3 to the power of it at most); a garbled word has
+#: two to four of them, and longer runs were put in one case as a whole.
+CASED = 4
 #: A pair below this mutual information adds to the improbability of a segment.
 PROBABLE = 2.5
 
-_RUN = re.compile(r"[^\x00-\x7f]+")
+#: Where segments are looked for: characters beyond ASCII, with up to two ASCII characters between them (the second byte
+#: of a double-byte encoding may be one).
+_RUN = re.compile(r"[^\x00-\x7f]+(?:[\x21-\x7e]{1,2}[^\x00-\x7f]+)*")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
@@ -147,20 +153,61 @@ class PairModel:
         scores = [self.score(a, b) for a, b in zip(s, s[1:]) if a > "\x7f" or b > "\x7f"]
         return sum(scores) / len(scores) if scores else 0.0
 
-    def decide(self, left: str, run: str, right: str) -> tuple[str | None, str, float]:
-        """(original, mapping, gain) of one run between its neighbours; original is null where no inverse holds.
-        Decisions depend on the run and its neighbours only and are remembered."""
+    def decide(self, left: str, run: str, right: str) -> tuple[tuple[int, int, str, str, float], ...]:
+        """(start, end, original, mapping, gain) within ``run`` for its suspect segments that have an inverse, given the
+        characters beside it. Decisions depend on the run and its neighbours only and are remembered."""
         key = (left, run, right)
         got = self.known.get(key)
         if got is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            got = self.known[key] = self._decide(left, run, right)
+            got = self.known[key] = tuple(self._inverses(left, run, right))
         return got
 
+    def _inverses(self, left: str, run: str, right: str) -> Iterator[tuple[int, int, str, str, float]]:
+        s = left + run + right
+        done = 0
+        for a, b in self.segments(s):
+            low, high = max(a, 1), min(b, len(s) - 1)
+            wide, end = low, high  # a segment may end within the bytes of one character: out to the next ASCII
+            while wide > 1 and s[wide - 1] > "\x7f":
+                wide -= 1
+            while end < len(s) - 1 and s[end] > "\x7f":
+                end += 1
+            best = None
+            for start, stop in dict.fromkeys(((wide, end), (low, high), (low + 1, high), (low, high - 1), (low + 1, high - 1))):
+                if start < done or stop <= start or s[start:stop].isascii():
+                    continue
+                original, mapping, gain = self._decide(s[start - 1], s[start:stop], s[stop])
+                # a longer part that is restored explains more of the segment
+                if original is not None and (best is None or (stop - start, gain) > (best[1] - best[0], best[4])):
+                    best = (start - 1, stop - 1, original, mapping, gain)
+            if best is not None:
+                done = best[1] + 1
+                yield best
+
+    def segments(self, s: str) -> list[tuple[int, int]]:
+        """(start, end) of the disjoint maximum-scoring segments of ``s`` in characters, where each pair scores by how far
+        its mutual information falls short of PROBABLE, and a pair of ASCII characters by -1."""
+        scores = [PROBABLE - self.score(a, b) if a > "\x7f" or b > "\x7f" else -1.0 for a, b in zip(s, s[1:])]
+        # all maximal segments in one pass: each candidate keeps the sums before and after it
+        kept: list[tuple[int, int, float, float]] = []
+        total = 0.0
+        for i, x in enumerate(scores):
+            before, total = total, total + x
+            if x <= 0:
+                continue
+            start, left = i, before
+            while kept:
+                j = next((k for k in range(len(kept) - 1, -1, -1) if kept[k][2] < left), None)
+                if j is None or kept[j][3] >= total:
+                    break
+                start, left = kept[j][0], kept[j][2]
+                del kept[j:]
+            kept.append((start, i + 1, left, total))
+        return [(a, b + 1) for a, b, _, _ in kept]
+
     def _decide(self, left: str, run: str, right: str) -> tuple[str | None, str, float]:
-        if self.improbability(left + run + right) <= 0:
-            return None, "", 0.0
         base = self.mean(left + run + right)
         best: tuple[float, str, str] | None = None
         for variant in _cases(run):
@@ -188,15 +235,6 @@ class PairModel:
             return best[1], f"{_WEST} read as {best[2]}", best[0] - base
         return None, "", 0.0
 
-    def improbability(self, s: str) -> float:
-        """Sum of the maximum-scoring segment of consecutive pairs, where a pair scores by how far its mutual
-        information falls short of PROBABLE; at most 0 where no pair is improbable."""
-        best = now = -math.inf
-        for a, b in zip(s, s[1:]):
-            now = max(now, 0.0) + PROBABLE - self.score(a, b)
-            best = max(best, now)
-        return best
-
     def repair(self, text: str | None) -> tuple[str | None, bool]:
         """(text with its garbled runs restored, whether it held any)."""
         if not text or text.isascii():
@@ -206,9 +244,8 @@ class PairModel:
         decide, n = self.decide, len(text)
         for m in _RUN.finditer(text):
             a, b = m.span()
-            original, mapping, gain = decide(text[a - 1] if a else "\n", m.group(), text[b] if b < n else "\n")
-            if original is not None:
-                found.append((a, b, original, mapping, gain))
+            for low, high, *rest in decide(text[a - 1] if a else "\n", m.group(), text[b] if b < n else "\n"):
+                found.append((a + low, a + high, *rest))
         if found:
             sure = Counter(f[3] for f in found if f[4] >= ALONE)
             strong = {f[3] for f in found if f[4] >= STRONG or sure[f[3]] > 1}
@@ -224,14 +261,14 @@ class PairModel:
 
 def _cases(run: str) -> Iterator[str]:
     """The run, then its spellings with other letter case: a garbled line may have been put in capitals or small
-    letters afterwards. Long runs try all-small and all-capital only."""
+    letters afterwards. All spellings are tried for up to CASED letters, beyond that all-small and all-capital."""
     yield run
     seen = {run}
     for variant in (run.lower(), run.upper()):
         if variant not in seen and len(variant) == len(run):
             seen.add(variant)
             yield variant
-    if len(run) <= 4:
+    if sum(c.lower() != c.upper() for c in run) <= CASED:
         for combo in itertools.product(*({c, c.lower(), c.upper()} for c in run)):
             variant = "".join(combo)
             if variant not in seen and len(variant) == len(run):

@@ -67,7 +67,7 @@ class _Signer:
                 self.codes.clear()
             low = w.lower()
             plain = _DIGITS.sub("#", "".join(c for c in low if c.isascii() and c.isalnum()))
-            if plain in _MONTHS or "#" in plain and _ORDINAL.fullmatch(plain):
+            if plain in _MONTHS and (plain not in ("may", "mar") or w[:1].isupper()) or "#" in plain and _ORDINAL.fullmatch(plain):
                 code = self.NUMBER
             else:  # the lowest bits tell a capital and a small letter
                 code = self.hash(plain or low) & ~15 | 8 | w[:1].isupper() << 1 | w[:1].islower()
@@ -136,7 +136,7 @@ class _Signer:
 _ENDS = frozenset(".!?:;…")
 _DIGITS = re.compile(r"\d+")
 _ORDINAL = re.compile(r"(?:#(?:st|nd|rd|th|er|de|e|h|am|pm)?)+")
-_MONTHS = frozenset(m for m in L.MONTHS if m not in ("may", "mar"))
+_MONTHS = frozenset(L.MONTHS)
 
 
 def line_table(pages: DataFrame, model: garble.PairModel) -> DataFrame:

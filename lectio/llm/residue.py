@@ -1,10 +1,11 @@
 """Template residue, filler, error pages and demands for scripts in place of content (problem 5).
 
 Unfilled placeholders are found by one grammar per delimiter, wherever they stand, and are discounted where the text
-shows them on purpose: inside quotation marks or back ticks, or sparsely beside words of a tutorial. Filler is a run of
-Lorem-ipsum words, or a short line that says it is filler. Error messages and demands for scripts must fill a line of
-their own: in the running sentence of an article they are its subject. A note that one part of a page (comments, a
-player) needs scripts is no demand.
+shows them on purpose: inside quotation marks or back ticks, in a code block (fenced, indented below a line that ends
+with a colon, or between code or pre tags), or sparsely beside words of a tutorial. Filler is a run of Lorem-ipsum words,
+or a short line that says it is filler. Error messages and demands for scripts must fill a line of their own: in the
+running sentence of an article they are its subject, unless such sentences hold most of the words of the text. A note that one part of a page (comments, a player) needs scripts
+is no demand.
 
 Null, empty and blank texts are never residue. The test of a text depends on the text alone: one map, no shuffle;
 repeated rows are judged each, an empty table gives an empty result.
@@ -83,9 +84,27 @@ _DEMAND = re.compile(
 _PART = re.compile(r"(?i)^\W*(?:the |our |les? |la |die |der |das |el |los )?(?:comments?|kommentare?|commentaires?|comentarios?|player|videos?|audio|maps?|forms?|ratings?|slides?|gallery|notes?)\b")
 _ODD = re.compile(r"[^\x00-\x7f]+|\s+")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words of a line that a message or a note of filler may have at most.
+#: Words of a line that a message or a note of filler may have at most: a longer line is running text, whose sentences are
+#: judged each (see :func:`running_residue`).
 LINE_WORDS = 22
-LINE_CHARS = 180
+#: Share of the words of a text that messages within its long lines must hold.
+MOSTLY = 0.5
+
+_FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)")
+_TAGGED = re.compile(r"(?is)<(pre|code)\b[^>]*>.*?</\1\s*>")
+_INDENTED = re.compile(r"(?m)(?<=:)[ \t]*\r?\n(?:[ \t]*\r?\n)?((?:(?: {4,}|\t)\S.*(?:\r?\n|\Z))+)")
+
+
+def code_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the blocks of ``text`` that show code."""
+    out = []
+    if "```" in text or "~~~" in text:
+        out += [m.span() for m in _FENCE.finditer(text)]
+    if "</" in text:
+        out += [m.span() for m in _TAGGED.finditer(text)]
+    if "    " in text or "\t" in text:
+        out += [m.span(1) for m in _INDENTED.finditer(text)]
+    return out
 
 
 def placeholders(text: str) -> Iterator[re.Match]:
@@ -96,7 +115,10 @@ def placeholders(text: str) -> Iterator[re.Match]:
     if not found:
         return
     share = sum(len(m.group()) for m in found) / len(text)
+    shown = code_blocks(text)
     for m in found:
+        if any(a <= m.start() < b for a, b in shown):
+            continue
         if _SHOWN.search(text[max(0, m.start() - 2) : m.start()]):
             continue
         if share < 0.2 and _TUTORIAL.search(text[max(0, m.start() - 150) : m.start()] + " " + text[m.end() : m.end() + 150]):
@@ -139,8 +161,7 @@ _CODE = re.compile(r"\b(?:40\d|410|429|50\d)\b")
 @lru_cache(maxsize=200_000)
 def residue_line(line: str) -> str | None:
     """``filler``, ``error`` or ``scripts`` where a whole line is such; a longer line is prose and never is."""
-    low = line.lower()
-    if not _CODE.search(low) and not any(h in low for h in _HINTS) or len(_WORD.findall(line)) > LINE_WORDS:
+    if len(_WORD.findall(line)) > LINE_WORDS:
         return None
     if _FILLER.search(line):
         return "filler"
@@ -160,10 +181,38 @@ def residue(text: str | None) -> str | None:
     low = text.lower()
     if lorem_run(low):
         return "filler"
+    hints = [h for h in _HINTS if h in low]
+    code = ("40" in low or "50" in low or "410" in low or "429" in low) and _CODE.search(low) is not None
+    if not hints and not code:
+        return None
+    held: dict[str, int] = {}
+    total = 0
     for line in text.split("\n"):
-        if len(line) < LINE_CHARS and (kind := residue_line(line.strip())):
+        low = line.lower()
+        n = low.count(" ") + 1
+        total += n
+        if not any(h in low for h in hints) and not (code and _CODE.search(low)):
+            continue
+        if kind := residue_line(line.strip()):
             return kind
-    return None
+        if n > LINE_WORDS:
+            for kind, n in running_residue(line, hints, code).items():
+                held[kind] = held.get(kind, 0) + n
+    return max(held, key=held.get) if held and sum(held.values()) >= MOSTLY * total else None
+
+
+_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+
+
+def running_residue(line: str, hints: list[str], code: bool) -> dict[str, int]:
+    """Words of the sentences of a long line that are messages, demands or filler, by kind. Only sentences with one of
+    ``hints``, or with an error code, can be."""
+    held: dict[str, int] = {}
+    for sentence in _SENTENCES.split(line):
+        low = sentence.lower()
+        if (any(h in low for h in hints) or code and _CODE.search(low)) and (kind := residue_line(sentence.strip())):
+            held[kind] = held.get(kind, 0) + low.count(" ") + 1
+    return held
 
 
 def error_template(value: str | None) -> bool:

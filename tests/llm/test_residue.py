@@ -44,3 +44,14 @@ def test_table(spark):
     got = sorted((r.page_id, r.field) for r in residue.find_residue(df).collect())
     assert got == [(1, "text_content"), (1, "text_content"), (2, "error")]
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+def test_code_blocks_show_placeholders_and_long_lines_are_read_by_sentence():
+    essay = "The law of grace orders the reason of the text as the reader knows. " * 6
+    assert residue.residue(f"{essay}\n```\n<p>{{{{name}}}}</p>\n```\n{essay}") is None
+    assert residue.residue(f"{essay}\n<pre>\n${{title}} %%NAME%%\n</pre>\n{essay}") is None
+    assert residue.residue(f"{essay} as here:\n\n    {{{{name}}}}\n    {{% block %}}\n\n{essay}") is None
+    assert residue.residue(f"{essay}\n```\ncode\n```\n{essay} {{{{name}}}}") == "placeholder"
+    message = "404 Not Found. The page you are looking for might have been removed or renamed some time ago. The page could not be found on this server. Error 404 for this address."
+    assert residue.residue(message) == "error"
+    assert residue.residue(f"{essay} {message} {essay * 3}".replace("\n", " ")) is None
