@@ -47,9 +47,9 @@ CASED = 4
 #: A pair below this mutual information adds to the improbability of a segment.
 PROBABLE = 2.5
 
-#: Where segments are looked for: characters beyond ASCII, with up to two ASCII characters between them (the second byte
-#: of a double-byte encoding may be one).
-_RUN = re.compile(r"[^\x00-\x7f]+(?:[\x21-\x7e]{1,2}[^\x00-\x7f]+)*")
+#: Where segments are looked for: characters beyond ASCII, and an ASCII character between such ones where the first is
+#: of no Latin script (the second byte of a double-byte encoding may be one).
+_RUN = re.compile(r"[^\x00-\x7f]+(?:(?<=[\u0370-\uffff])[\x40-\x7e][^\x00-\x7f]+)*")
 _LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 

@@ -9,8 +9,8 @@ the item is aligned with the document, and a pair is a leak if matching stretche
   quotations of up to eight words never do.
 * A pair is a leak if its one or two longest stretches, in the same order in both texts, hold SHARE of the item's words.
 
-Null, empty and blank texts on either side leak nothing; an item of fewer words than a mask spans is compared word by
-word inside LEAST; repeated documents are reported each; repeated pairs once; empty tables give an empty result.
+Null, empty and blank texts on either side leak nothing, and items of fewer than LEAST words are no cases (a quotation of
+so few is none); ids may be of any type; repeated documents are reported each; repeated pairs once; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,17 +22,18 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Masks of weight six: the positions of a window that are looked at. Together they hit any nine equal words in a row,
-#: and most stretches of a dozen with one or two changed.
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 8), (0, 1, 2, 3, 4, 5))
+#: Masks of weight six: the positions of a window that are looked at. Together they give three hits or more on any ten equal
+#: words in a row, and on most stretches of a dozen with one changed.
+MASKS = ((0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 8), (0, 1, 3, 4, 6, 7))
 SHARE, LEAST, GAP, STRETCHES = 0.25, 9, 4, 2
 #: What a changed, added or missing word takes from the score of a stretch, where a matching word adds one.
 COST = 1.5
 #: Hits that a pair needs to be aligned: nine equal words in a row give seven, a dozen with one changed at least three.
 HITS = 3
 SIEVE_BITS = 22
-#: Words of all items up to which they are sent to every task (a few MB); beyond it seeds are joined by a shuffle.
-SENT_WORDS = 2_000_000
+#: Bytes of all item texts up to which they are sent to every task (a seed of 16 bytes a mask and word at most); beyond it
+#: seeds are joined by a shuffle.
+SENT_BYTES = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -152,10 +153,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
     """(doc, item, item_words, matched): each document with each item that leaked into it."""
     spark = documents.sparkSession
     evals = items.select(item, text).where(F.col(text).isNotNull())
-    size = evals.agg(F.sum(F.size(F.split(text, r"\s+"))).alias("n")).first().n or 0
-    if size > SENT_WORDS:
+    size = evals.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    if size > SENT_BYTES:
         return _find_by_join(documents, evals, doc, item, text)
-    shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in evals.collect()]))
+    ids, texts = zip(*((r[0], r[1]) for r in evals.collect())) if size else ((), ())
+    shared = spark.sparkContext.broadcast((Items(list(enumerate(texts))), ids))
     slim = documents.select(doc, text)
     kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((slim, doc), (evals, item))}
 
@@ -163,7 +165,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
         import numpy as np
         import pyarrow as pa
 
-        known = shared.value
+        known, ids = shared.value
+        kind = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds[item])
         number = known.vocabulary.get
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
@@ -178,12 +181,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
                     n, _ = align(tokens, lists[row], hits)
                     if enough(len(tokens), n):
                         rows.append(row)
-                        found.append(e)
+                        found.append(ids[e])
                         sizes.append(len(tokens))
                         matched.append(n)
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array(found, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matched, pa.int32())],
+                        [part.column(0).take(pa.array(rows)), pa.array(found, kind), pa.array(sizes, pa.int32()), pa.array(matched, pa.int32())],
                         [doc, item, "item_words", "matched"],
                     )
 

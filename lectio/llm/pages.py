@@ -96,7 +96,7 @@ class _Signer:
         name[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
         small = np.bincount(line_of, weights=word & (tokens & np.uint64(1) > 0), minlength=len(lines))
         names = np.bincount(line_of, weights=name, minlength=len(lines))
-        sentence = np.array([x[-1:] in _ENDS for x in text.to_pylist()], bool)
+        sentence = np.asarray(pc.match_substring_regex(text, "[.!?:;…]$"))
         passing = name & (sentence & (small >= SHINGLE) & (small >= names))[line_of]
         tokens = np.where(passing, np.uint64(self.NAME), np.where(word, tokens & np.uint64(0xFFFFFFFFFFFFFFF0) | np.uint64(8), tokens))
         again = np.zeros(len(tokens), bool)
@@ -133,7 +133,6 @@ class _Signer:
         return s1, s2, ok
 
 
-_ENDS = frozenset(".!?:;…")
 _DIGITS = re.compile(r"\d+")
 _ORDINAL = re.compile(r"(?:#(?:st|nd|rd|th|er|de|e|h|am|pm)?)+")
 _MONTHS = frozenset(L.MONTHS)

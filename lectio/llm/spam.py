@@ -87,7 +87,10 @@ def spam_words(lines: list[str], norms: list[str]) -> list[tuple[int, int]]:
     content: list[list[str]] = []
     if total >= 12:
         rough = [w for ws in words for w in (*("" if w in FUNCTION_WORDS or w[0] == "#" else w for w in ws), "")]
-        profile, pairs = autocorrelation(rough)
+        held = [p for p in zip(rough, rough[1:]) if p[0] and p[1]]
+        # no more places of a pair can follow another than there are repeats of pairs, so few repeats settle it
+        may = len(held) - len(set(held)) >= REGULAR * (len(rough) - rough.count(""))
+        profile, pairs = autocorrelation(rough) if may else ([], set())
         if pairs and sum(profile) >= REGULAR:  # marks only take pairs away, so they are looked at for such pages alone
             content = [_content(line) for line in lines]
             profile, pairs = autocorrelation([w for cs in content for w in cs])

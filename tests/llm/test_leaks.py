@@ -50,7 +50,7 @@ def test_leaks(spark, case):
 
 def test_the_join_for_large_item_sets_gives_the_same(spark, case, monkeypatch):
     docs, items, want = tables(spark, case)
-    monkeypatch.setattr(leaks, "SENT_WORDS", 10)
+    monkeypatch.setattr(leaks, "SENT_BYTES", 10)
     got = leaks.find_leaks(docs, items).select("doc_id", "item_id").distinct().collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
 
@@ -61,3 +61,14 @@ def test_alignment():
     assert leaks.align(item, item[:8] + [99] * 30, [0]) == (0, 0)
     two = item[:12] + [77] * 50 + item[20:32]
     assert leaks.align(item, two, [0, 65]) == (24, 2)
+
+
+def test_ids_of_text(spark, case):
+    docs, items, want = tables(spark, case)
+    got = leaks.find_leaks(docs, items.selectExpr("concat('i', item_id) AS item_id", "text")).select("doc_id", "item_id").distinct().collect()
+    assert {(r.doc_id, int(r.item_id[1:])) for r in got} == want
+
+
+def test_masks_are_spaced_and_hit_ten_equal_words():
+    assert all(m[-1] > len(m) - 1 for m in leaks.MASKS)
+    assert sum(10 - m[-1] for m in leaks.MASKS) >= leaks.HITS
