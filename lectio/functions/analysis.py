@@ -8,10 +8,12 @@ not copy a step's input into each of its conditions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import twin
 from .rules import CVC, DOUBLE_SUFFIXES, DOUBLED_Y, LAST_SUFFIXES, M1, M2, NOUN_SUFFIXES, SEPARATORS, SINGLE, STOP_WORDS, VOWEL
 
 
@@ -110,21 +112,34 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) <= 2, word).otherwise(w)
 
 
-def exploded(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
+def exploded(docs: DataFrame, key: str = "doc_id", text: str = "content", analyzer: Analyzer | None = None) -> DataFrame:
     """(key, pos, token): one row a kept token before stemming. The outer form keeps the optimizer from evaluating the
     tokens twice for an inferred filter."""
-    return docs.select(key, F.posexplode_outer(raw_tokens(F.col(text))).alias("pos", "token")).where("token is not null")
+    return docs.select(key, F.posexplode_outer((analyzer.tokens if analyzer else raw_tokens)(F.col(text))).alias("pos", "token")).where("token is not null")
 
 
-def stem_vocabulary(tokens: DataFrame) -> DataFrame:
+def stem_vocabulary(tokens: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
     """(token, term) of the distinct tokens: far fewer rows than tokens, so the stemmer runs once a word."""
-    return tokens.select("token").distinct().withColumn("term", stem(F.col("token")))
+    return tokens.select("token").distinct().withColumn("term", (analyzer.term if analyzer else stem)(F.col("token")))
 
 
-def stemmed(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
+@dataclass(frozen=True)
+class Analyzer:
+    """How texts become terms: kept tokens of a text column, the term of a token column, and both for one query text."""
+
+    tokens: Callable[[Column], Column]
+    term: Callable[[Column], Column]
+    query: Callable[[str], list[str]]
+
+
+#: The analyzer of the engine unless another is given.
+STANDARD = Analyzer(raw_tokens, stem, twin.tokenize)
+
+
+def stemmed(docs: DataFrame, key: str = "doc_id", text: str = "content", analyzer: Analyzer = STANDARD) -> DataFrame:
     """(key, pos, term). The vocabulary joins as Spark sizes it at run time: sent whole while small, else by shuffle."""
-    tokens = exploded(docs, key, text)
-    return tokens.join(stem_vocabulary(tokens), "token").select(key, "pos", "term")
+    tokens = exploded(docs, key, text, analyzer)
+    return tokens.join(stem_vocabulary(tokens, analyzer), "token").select(key, "pos", "term")
 
 
 def tokenize(text: Column) -> Column:

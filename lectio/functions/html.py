@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -11,16 +12,25 @@ from pyspark.sql import functions as F
 
 from . import urls
 
-#: Elements whose text is not visible content.
+# Elements whose text is not visible content.
 SKIPPED = ("script", "style", "noscript", "svg", "path", "iframe", "nav", "footer", "header")
-#: Named entities of the native chain; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Named entities of the native chain, from the standard library's table of HTML 4.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
 def decode(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """``text`` with its entities, named and numbered, as characters, in one pass; what is no entity stays. Texts without an
+    ampersand are not taken apart."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def piece(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("int")).when(name.startswith("#"), F.substring(name, 2, 7).cast("int"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(number.isNull(), names[name]).when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.when(i == 0, p).when((name == "") | char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
 
 
 def title(html: Column) -> Column:
@@ -36,14 +46,16 @@ def text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?is)<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>", " ")
     for tag in SKIPPED:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    t = F.regexp_replace(t, r"""(?s)</?[A-Za-z!](?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>""", " ")
     return F.regexp_replace(F.regexp_replace(decode(t), r"\s{2,}", " "), r"^\s+|\s+$", "")
 
 
 def links(html: Column, base: Column) -> Column:
     """Absolute targets of all anchors in order, with repeats."""
-    hrefs = F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*?href=\"([^\"]*)\""), 1)
-    return F.filter(F.transform(hrefs, lambda h: urls.resolve(base, decode(h))), lambda u: u.isNotNull())
+    anchors = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), 0)
+    value = lambda a: F.regexp_extract(a, r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    hrefs = F.transform(anchors, lambda a: F.regexp_replace(value(a), r"""^["']|["']$""", ""))
+    return F.filter(F.transform(F.filter(hrefs, lambda h: h != ""), lambda h: urls.resolve(base, decode(h))), lambda u: u.isNotNull())
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -17,34 +17,33 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _hits(low: Column, stem: str) -> Column:
-    """Starts (from 0) of all hits of ``stem``, overlapping ones too: the text is split before each, once."""
-    pieces = F.split(low, f"(?={re.escape(stem)})")
-    begin = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
-
-    def add(acc: Column, piece: Column) -> Column:
-        at = F.when(piece.startswith(stem), F.concat(acc["at"], F.array(acc["n"]))).otherwise(acc["at"])
-        return F.struct(at.alias("at"), (acc["n"] + F.length(piece)).alias("n"))
-
-    return F.aggregate(pieces, begin, add, lambda acc: acc["at"])
+def _counts(pieces: Column, stem: str) -> Column:
+    """How many hits of ``stem``, overlapping ones too, begin in each piece of STEP characters: a piece is read on by the
+    letters that a hit at its end needs, so the whole text is read once."""
+    n = len(stem) - 1
+    ahead = -(-n // STEP)
+    follows = lambda i: F.left(F.array_join(F.slice(pieces, i + 2, ahead), ""), F.lit(n)) if n else F.lit("")
+    return F.transform(pieces, lambda p, i: F.regexp_count(F.concat(p, follows(i)), F.lit(f"(?={re.escape(stem)})")))
 
 
 def window_start(text: Column, stems: Sequence[str]) -> Column:
     """Start (from 0) of the first best window: distinct stems count 1000, hits 1; null where nothing hits. Hits may
-    overlap; a stem given twice counts as two."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(STEP))
+    overlap; a stem given twice counts as two. Windows begin at every STEP characters and are sums over the counts of the
+    pieces that they hold, so the work is linear in the text."""
+    span = WINDOW // STEP
 
-    def best(hits: Column) -> Column:
-        def worth(p: Column) -> Column:
-            counts = F.transform(hits, lambda h: F.size(F.filter(h, lambda x: (x >= p) & (x < p + WINDOW))))
-            return F.aggregate(counts, F.lit(0), lambda total, c: total + c + F.when(c > 0, 1000).otherwise(0))
+    def best(counts: Column) -> Column:
+        def worth(_: Column, i: Column) -> Column:
+            held = F.transform(counts, lambda c: F.aggregate(F.slice(c, i + 1, span), F.lit(0), lambda x, y: x + y))
+            return F.aggregate(held, F.lit(0), lambda total, c: total + c + F.when(c > 0, 1000).otherwise(0))
 
         def first(s: Column) -> Column:
             return F.when(F.array_max(s) > 0, (F.array_position(s, F.array_max(s)) - 1).cast("int") * STEP)
 
-        return _let(F.transform(starts, worth), first)
+        return _let(F.transform(counts[0], worth), first)
 
-    return _let(F.lower(text), lambda low: _let(F.array(*(_hits(low, t) for t in stems)), best))
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(f"(?s).{{1,{STEP}}}"), 0)
+    return _let(pieces, lambda p: _let(F.array(*(_counts(p, t) for t in stems)), best))
 
 
 def cut(text: Column, start: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -26,17 +27,18 @@ class CrawlOptions:
     max_depth: int = 2
 
 
-def crawl(pages: DataFrame, links: DataFrame, options: CrawlOptions) -> DataFrame:
+def crawl(pages: DataFrame, links: DataFrame, options: CrawlOptions, progress: Callable[[int, int, str], None] | None = None) -> DataFrame:
     """(ord, url, depth, success): the pages a polite crawler visits, in order.
 
     First in, first out; failed fetches count as pages; nothing is queued once pages and queue reach twice ``max_pages``;
     an address is visited once, letter case aside. Each level looks its pages and links up in one query; frontiers are at
-    most twice ``max_pages`` addresses, so the queue itself lives on the driver.
+    most twice ``max_pages`` addresses, so the queue itself lives on the driver. ``progress`` is told (pages visited, pages
+    queued, address) before each page.
     """
     spark = pages.sparkSession
     seed = options.seed if options.seed.lower().startswith(("http://", "https://")) else f"https://{options.seed}"
     seed = seed.rstrip("/")
-    home = (urlsplit(seed).hostname or "").lower()
+    home = (urlsplit(options.seed).hostname or "").lower()  # none for a seed without a scheme: it is held to no domain
     bound = 2 * options.max_pages
     queue: list[tuple[str, int]] = [(seed, 0)]
     seen: set[str] = set()
@@ -51,7 +53,7 @@ def crawl(pages: DataFrame, links: DataFrame, options: CrawlOptions) -> DataFram
             key = F.lower("dst")
             own = links.where(F.col("src").isin(*near)).select("src", "ordinal", "dst").distinct().where(~key.isin(*seen) if seen else F.lit(True))
             if options.same_domain and home:
-                own = own.where(_on_host(home)("dst"))
+                own = own.where(urls.host(F.col("dst")) == home)
             # of what may still be queued, no page needs more than ``bound``; links to this level are visited by and by
             first = Window.partitionBy("src", F.when(key.isin(*{u.lower() for u in level}), key)).orderBy("ordinal", "dst")
             rows = own.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= bound).select("src", "ordinal", "dst").collect()
@@ -64,32 +66,19 @@ def crawl(pages: DataFrame, links: DataFrame, options: CrawlOptions) -> DataFram
             if url.lower() in seen:
                 continue
             seen.add(url.lower())
+            if progress:
+                progress(len(out), len(queue) + len(level) - i - 1, url)
             success = bool(ok.get(url, ok.get(url + "/", False)))
             out.append((len(out), url, depth, success))
             if success and depth < options.max_depth:
                 for dst in follow.get(url, follow.get(url + "/", [])):
                     if len(out) + len(queue) + (len(level) - i - 1) >= bound:
                         break
-                    if options.same_domain and home and (urlsplit(dst).hostname or "").lower() != home:
-                        continue
                     if dst.lower() not in seen:
                         queue.append((dst, depth + 1))
     return spark.createDataFrame(out, "ord int, url string, depth int, success boolean")
 
 
-def _on_host(home: str):
-    """Whether an address is on ``home``, by the same parser as the queue."""
-
-    @F.udf("boolean")
-    def on_host(url: str | None) -> bool:
-        try:
-            return (urlsplit(url or "").hostname or "").lower() == home
-        except ValueError:
-            return False
-
-    return on_host
-
-
 def depths(links: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     """(url, depth): the least number of links from any of ``seeds`` (url) within one host, for whole graphs: one join and
     one anti-join a level, each level written so that lineage stays short. Repeated edges count once."""
@@ -103,6 +92,15 @@ def depths(links: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
     return reached
 
 
+def page_report(pages: DataFrame, visited: DataFrame) -> DataFrame:
+    """(ord, url, title, success, error, content_length): what became of each visited page, in order; of several fetches of
+    an address the one with the greatest page_id counts, and a page that was never fetched failed."""
+    key = F.regexp_replace("url", "/$", "")
+    last = pages.groupBy(key.alias("_url")).agg(F.max_by(F.struct("title", "error", F.length(F.coalesce("text_content", F.lit(""))).alias("n")), "page_id").alias("p"))
+    joined = visited.withColumn("_url", key).join(last, "_url", "left")
+    return joined.select("ord", "url", F.col("p.title").alias("title"), "success", F.col("p.error").alias("error"), F.coalesce("p.n", F.lit(0)).alias("content_length"))
+
+
 def report(pages: DataFrame) -> DataFrame:
     """One row: how many pages succeeded and failed, and the length of what was read."""
     ok = F.coalesce("success", F.lit(False))

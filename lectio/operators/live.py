@@ -15,11 +15,14 @@ from .index import keep_first
 from .search import B, K1, bm25
 
 TITLE_BOOST, SCHOLARLY_BOOST = 0.3, 1.5
+#: Hits of the discovery that a live search goes on with.
+DISCOVERED = 50
 
 
-def dedupe(discovery: DataFrame) -> DataFrame:
-    """The first hit of each address by position, spellings taken together."""
-    return keep_first(discovery.withColumn("key", urls.dedupe_key(F.col("url"))), "key", "pos").drop("key")
+def dedupe(discovery: DataFrame, most: int | None = None) -> DataFrame:
+    """The first hit of each address by position, spellings taken together; of these the first ``most`` where given."""
+    first = keep_first(discovery.withColumn("key", urls.dedupe_key(F.col("url"))), "key", "pos").drop("key")
+    return first if most is None else first.orderBy("pos").limit(most)
 
 
 def fetched(discovery: DataFrame, pages: DataFrame) -> DataFrame:
@@ -113,9 +116,9 @@ def fallback_items(discovery: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def phases(discovery: DataFrame, pages: DataFrame, query: str, n: int = 10):
+def phases(discovery: DataFrame, pages: DataFrame, query: str, n: int = 10, most: int | None = DISCOVERED):
     """Yields ("discovery", items) at once and then ("scored", items); a blank query gives one empty "scored"."""
-    hits = dedupe(discovery)
+    hits = dedupe(discovery, most)
     if not query or query.isspace():
         yield "scored", fallback_items(hits, 0)
         return

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..functions.twin import tokenize
@@ -29,7 +30,7 @@ class ParsedQuery:
         return [*self.required, *self.optional, *(t for p in self.phrases for t in p)]
 
 
-def parse(text: str | None) -> ParsedQuery:
+def parse(text: str | None, tokenize: Callable[[str], list[str]] = tokenize) -> ParsedQuery:
     """The parsed form of a query text; blank texts give an empty query."""
     if not text or text.isspace():
         return ParsedQuery()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.snippet import snippet
+from ..functions.twin import tokenize
 from .query import ParsedQuery, parse
 
 K1, B = 1.2, 0.75
@@ -41,35 +42,38 @@ def _in_order(phrase: list[str]) -> Column:
 
 
 def matches(postings: DataFrame, query: ParsedQuery) -> DataFrame:
-    """(doc_id, tf): documents with all required terms and phrases, with tf of each query term as a map. One shuffle, of
+    """(doc_id, tf, and doc_len where the postings carry it): documents with all required terms and phrases, with tf of each query term as a map. One shuffle, of
     the postings of the query's terms only; a query without phrases does not read positions."""
     found = postings_of(postings, query.terms)
-    tf = F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf")
+    sums = [F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf")]
+    held = ["doc_len"] if "doc_len" in postings.columns else []
+    sums += [F.first(c).alias(c) for c in held]
     if query.phrases:
-        at = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")
-        docs = found.groupBy("doc_id").agg(tf, at)
-    else:
-        docs = found.groupBy("doc_id").agg(tf)
+        words = {t for p in query.phrases for t in p}
+        sums.append(F.map_from_entries(F.collect_list(F.when(F.col("term").isin(*words), F.struct("term", "positions")))).alias("at"))
+    docs = found.groupBy("doc_id").agg(*sums)
     for t in sorted(set(query.required)):
         docs = docs.where(F.map_contains_key("tf", t))
     for p in query.phrases:
         docs = docs.where(_in_order(p))
-    return docs.select("doc_id", "tf")
+    return docs.select("doc_id", "tf", *held)
 
 
 #: A ranker: the score of one term from the columns (tf, df, document length, n, average length).
 Scorer = Callable[[Column, Column, Column, Column, Column], Column]
 
 
-def scored(postings: DataFrame, lengths: DataFrame, stats: DataFrame, query: ParsedQuery, k1: float = K1, b: float = B, scorer: Scorer | None = None) -> DataFrame:
+def scored(postings: DataFrame, lengths: DataFrame, stats: DataFrame | tuple[int, float], query: ParsedQuery, k1: float = K1, b: float = B, scorer: Scorer | None = None) -> DataFrame:
     """(doc_id, score) of all matches; the sum runs over query terms with repeats. Scores are rounded to 6 digits, so that
-    ranks do not hang on the order of a sum. ``scorer`` takes the place of BM25."""
+    ranks do not hang on the order of a sum. ``scorer`` takes the place of BM25. ``stats`` are (n, avgdl) as numbers or as a
+    table of one row. Postings that carry the length of their document are all that is read."""
     score_of = scorer or (lambda tf, df, dl, n, avgdl: bm25(tf, df, dl, n, avgdl, k1, b))
     counts = Counter(query.terms)
     terms = sorted(counts)
     df = {r.term: r.df for r in postings_of(postings, terms).groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most one row a query term
-    hits = matches(postings, query).join(lengths, "doc_id")
-    n, avgdl = stats.select(F.col("n").cast("double")).scalar(), stats.select("avgdl").scalar()
+    hits = matches(postings, query)
+    hits = hits if "doc_len" in hits.columns else hits.join(lengths, "doc_id")
+    n, avgdl = numbers(stats)
     score = F.lit(0.0)
     for t in terms:
         if df.get(t):
@@ -78,6 +82,13 @@ def scored(postings: DataFrame, lengths: DataFrame, stats: DataFrame, query: Par
     return hits.select("doc_id", F.round(score, 6).alias("score"))
 
 
+def numbers(stats: DataFrame | tuple[int, float]) -> tuple[Column, Column]:
+    """(n, avgdl) as columns."""
+    if isinstance(stats, tuple):
+        return F.lit(float(stats[0])), F.lit(float(stats[1]))
+    return stats.select(F.col("n").cast("double")).scalar(), stats.select("avgdl").scalar()
+
+
 def top(ranked: DataFrame, n: int = 10, skip: int = 0) -> DataFrame:
     """(rank, doc_id, score): the best ``n`` after ``skip``, best first, ties by doc_id; a heap per task, no full sort."""
     n, skip = max(n, 0), max(skip, 0)
@@ -101,30 +112,35 @@ def items(best: DataFrame, docs: DataFrame, query: ParsedQuery) -> DataFrame:
     )
 
 
-def batch(postings: DataFrame, lengths: DataFrame, stats: DataFrame, queries: Iterable[tuple[int, str, int]]) -> DataFrame:
+def batch(
+    postings: DataFrame, lengths: DataFrame, stats: DataFrame | tuple[int, float], queries: Iterable[tuple[int, str, int]],
+    k1: float = K1, b: float = B, scorer: Scorer | None = None, tokenize: Callable[[str], list[str]] = tokenize,
+) -> DataFrame:
     """(qid, rank, doc_id, score) of many queries (qid, text, top_n) in one pass: the terms of all queries join the
     postings once; required terms and phrases are checked by counting."""
     spark = postings.sparkSession
     rows, needs = [], []
     for qid, text, n in queries:
-        q = parse(text)
+        q = parse(text, tokenize)
         if q.is_empty or n <= 0:
             continue
         for t, c in Counter(q.terms).items():
-            rows.append((qid, t, c, t in q.required))
+            rows.append((qid, t, c, t in q.required, any(t in p for p in q.phrases)))
         needs.append((qid, len(set(q.required)), q.phrases, n))
-    terms = spark.createDataFrame(rows, "qid int, term string, weight int, needed boolean")
+    terms = spark.createDataFrame(rows, "qid int, term string, weight int, needed boolean, placed boolean")
     need = spark.createDataFrame(needs, "qid int, needed_n int, phrases array<array<string>>, top_n int")
     wanted = sorted({r[1] for r in rows})
     mine = postings_of(postings, wanted) if len(wanted) <= 5000 else postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = stats.select(F.col("n").cast("double")).scalar(), stats.select("avgdl").scalar()
-    one = mine.join(terms, "term").join(df, "term").join(lengths, "doc_id")
-    part = F.col("weight") * bm25(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("doc_len").cast("double"), n, avgdl)
+    n, avgdl = numbers(stats)
+    score_of = scorer or (lambda tf, df, dl, n, avgdl: bm25(tf, df, dl, n, avgdl, k1, b))
+    one = mine.join(terms, "term").join(df, "term")
+    one = one if "doc_len" in mine.columns else one.join(lengths, "doc_id")
+    part = F.col("weight") * score_of(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("doc_len").cast("double"), n, avgdl)
     docs = one.groupBy("qid", "doc_id").agg(
         F.round(F.sum(part), 6).alias("score"),
         F.sum(F.col("needed").cast("int")).alias("got"),
-        F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"),
+        F.map_from_entries(F.collect_list(F.when(F.col("placed"), F.struct("term", "positions")))).alias("at"),
     )
     empty = F.array().cast("array<int>")
 
@@ -136,4 +152,6 @@ def batch(postings: DataFrame, lengths: DataFrame, stats: DataFrame, queries: It
 
     kept = docs.join(need, "qid").where((F.col("got") == F.col("needed_n")) & F.forall("phrases", phrase_ok))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_n")).select("qid", "rank", "doc_id", "score")
+    # a limit known to the plan lets each task keep its best rows of a query before they are gathered
+    most = max((x[3] for x in needs), default=0)
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).where(F.col("rank") <= F.col("top_n")).select("qid", "rank", "doc_id", "score")

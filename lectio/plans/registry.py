@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,8 +66,27 @@ def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return docs, index.build_postings(docs), lengths, index.corpus_stats(docs)
 
 
+def served(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, float]]:
+    """(docs, postings, lengths, numbers) as the engine serves them: an index of ``documents`` built once into a store in
+    the shared folder and read back, so that a search reads the postings of its terms."""
+    path = f"{d}/documents.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    key = (spark.sparkContext.applicationId, path, changed)
+    if key not in _served:
+        docs = docs_of(spark, d)
+        store = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        store.save({"docs": docs, "postings": index.build_postings(docs), "lengths": index.doc_lengths(docs)})
+        _served[key] = store
+    held = _served[key].load()
+    return held["docs"], held["postings"], held["lengths"], _served[key].stats()
+
+
+_served: dict[tuple, IndexStore] = {}
+
+
 def ranked(spark: SparkSession, d: str, text: str) -> DataFrame:
-    _, postings, lengths, stats = parts(spark, d)
+    _, postings, lengths, stats = served(spark, d)
     return search.scored(postings, lengths, stats, parse(text))
 
 
@@ -159,7 +178,7 @@ def delete_docs(spark, d):
 def upsert_docs(spark, d):
     """The texts of every third document are put in place of those of the document before."""
     docs = docs_of(spark, d)
-    changes = docs.where("doc_id % 3 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("seq"), "content")
+    changes = docs.where("doc_id % 3 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("seq"), "title", "content")
     after = index.upsert_docs(docs, changes)
     return index.doc_lengths(after)
 
@@ -167,8 +186,7 @@ def upsert_docs(spark, d):
 @query
 def stream_index(spark, d):
     """The same index by a stream of changes into a versioned store."""
-    base = shared_dir(spark).removeprefix("file://")
-    folder = tempfile.mkdtemp(prefix="stream-", dir=base) if base.startswith("/") and not base.startswith("//") else f"{base}/stream-{id(spark)}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "documents").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
@@ -185,7 +203,7 @@ def stream_index(spark, d):
 def store_round_trip(spark, d):
     docs, postings, lengths, stats = parts(spark, d)
     base = shared_dir(spark)
-    store = IndexStore(spark, f"{base}/store-{docs._jdf.hashCode() & 0xFFFFFFF:x}-{id(docs):x}")
+    store = IndexStore(spark, f"{base}/store-{uuid.uuid4().hex}")
     store.save({"docs": docs, "postings": postings, "lengths": lengths, "stats": stats})
     return store.load()["stats"].select("n", F.round("avgdl", 6).alias("avgdl"))
 
@@ -195,7 +213,7 @@ def store_round_trip(spark, d):
 
 @query
 def search_any(spark, d):
-    _, postings, *_ = parts(spark, d)
+    _, postings, *_ = served(spark, d)
     return search.postings_of(postings, parse(AND_QUERY).terms).select("doc_id").distinct()
 
 
@@ -207,7 +225,7 @@ def search_and(spark, d):
 @query
 def and_intersect(spark, d):
     """The same set by intersection."""
-    _, postings, *_ = parts(spark, d)
+    _, postings, *_ = served(spark, d)
     out = None
     for t in parse(AND_QUERY).required:
         ids = search.postings_of(postings, [t]).select("doc_id")
@@ -217,7 +235,7 @@ def and_intersect(spark, d):
 
 @query
 def docs_missing_term(spark, d):
-    docs, postings, *_ = parts(spark, d)
+    docs, postings, *_ = served(spark, d)
     return docs.select("doc_id").join(search.postings_of(postings, [parse(AND_QUERY).required[0]]), "doc_id", "left_anti")
 
 
@@ -229,7 +247,7 @@ def search_or(spark, d):
 @query
 def bm25_scores(spark, d):
     """Scores of all documents with any of the terms."""
-    _, postings, lengths, stats = parts(spark, d)
+    _, postings, lengths, stats = served(spark, d)
     q = parse(AND_QUERY)
     return search.scored(postings, lengths, stats, type(q)([], q.required, []))
 
@@ -272,14 +290,14 @@ def search_page2(spark, d):
 
 @query
 def search_items(spark, d):
-    docs, postings, lengths, stats = parts(spark, d)
+    docs, postings, lengths, stats = served(spark, d)
     q = parse(OR_QUERY)
     return search.items(search.top(search.scored(postings, lengths, stats, q), TOP_N), docs, q)
 
 
 @query
 def batch_search(spark, d):
-    _, postings, lengths, stats = parts(spark, d)
+    _, postings, lengths, stats = served(spark, d)
     return search.batch(postings, lengths, stats, BATCH_QUERIES)
 
 
@@ -288,17 +306,23 @@ def empty_query(spark, d):
     return ranked(spark, d, "the of")
 
 
+def _result(spark: SparkSession, d: str, pascal: bool) -> DataFrame:
+    docs, postings, lengths, stats = served(spark, d)
+    q = parse(OR_QUERY)
+    found = search.scored(postings, lengths, stats, q)
+    items = search.items(search.top(found, TOP_N), docs, q).withColumn("snippet", F.lit(""))
+    return sinks.result_json(items, OR_QUERY, found.count(), 0.0, pascal)
+
+
 @query
 def result_json(spark, d):
-    docs, postings, lengths, stats = parts(spark, d)
-    q = parse(OR_QUERY)
-    return sinks.as_json(search.items(search.top(search.scored(postings, lengths, stats, q), TOP_N), docs, q).select("rank", "title", "url", "is_scholarly"))
+    """A whole result as one object (its snippets, checked by search_items, and its time left out)."""
+    return _result(spark, d, False)
 
 
 @query
 def sse_frames(spark, d):
-    json = result_json(spark, d)
-    return json.select("rank", sinks.sse_frame(F.lit("scored"), F.col("json")).alias("frame"))
+    return _result(spark, d, True).select(sinks.sse_frame(F.lit("scored"), F.col("json")).alias("frame"))
 
 
 # ---- snippets
@@ -477,7 +501,7 @@ def content_type_by_ext(spark, d):
 @query
 def index_url(spark, d):
     first = crawled(spark, d).where("success and trim(text_content) != ''").agg(F.min_by("url", "page_id").alias("url")).first()
-    return files.index_url(crawled(spark, d), first.url if first else "").select("id", "url", "content_type")
+    return files.index_url(crawled(spark, d), first.url if first else "").select("doc_id", "url", "content_type")
 
 
 @query
@@ -529,7 +553,7 @@ def live_fallback(spark, d):
 def live_stream_phases(spark, d):
     """Both phases of the two-step answer as one table."""
     out = None
-    for name, items in live.phases(discovery_of(spark, d), crawled(spark, d), LIVE_QUERY, TOP_N):
+    for name, items in live.phases(discovery_of(spark, d), crawled(spark, d), LIVE_QUERY, TOP_N, None):
         rows = items.select(F.lit(name).alias("phase"), "rank", "url", "title")
         out = rows if out is None else out.unionByName(rows)
     return out

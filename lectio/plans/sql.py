@@ -135,6 +135,19 @@ b AS (SELECT *, strpos(reverse(tail), ' ') AS back FROM f),
 l AS (SELECT *, CASE WHEN stop < n AND back > 0 AND stop - back > first_at THEN stop - back ELSE stop END AS last_at FROM b)"""
 _MARK = "regexp_replace({0}, '((?:grace|reason)[\\p{{L}}\\p{{N}}_\\p{{M}}]*)', '<mark>\\1</mark>', 'gi')"
 
+_SHOWN = (
+    "CASE WHEN start IS NULL THEN CASE WHEN n > 280 THEN left(content, 280) || '...' ELSE content END"
+    + f" ELSE CASE WHEN first_at > 0 THEN '...' ELSE '' END || {_MARK.format('substr(content, (first_at + 1)::BIGINT, (last_at - first_at)::BIGINT)')} || CASE WHEN last_at < n THEN '...' ELSE '' END END"
+)
+
+
+def _result(named) -> str:
+    """A whole result as one JSON text; ``named`` spells the names of its fields."""
+    item = f"{{{named('title')}: title, {named('url')}: path, {named('snippet')}: '', {named('score')}: score, {named('sourceType')}: list_position(['Pdf', 'Markdown', 'Html'], content_type) - 1, {named('isScholarly')}: false, {named('domain')}: NULL}}"
+    items = f"(SELECT list({item} ORDER BY rank) FROM {_TOP} JOIN docs USING (doc_id) WHERE rank <= {TOP_N})"
+    return f"to_json({{{named('query')}: '{OR_QUERY}', {named('totalMatches')}: (SELECT count(*) FROM res), {named('elapsedMilliseconds')}: 0.0::DOUBLE, {named('items')}: {items}}})::VARCHAR"
+
+
 _ABS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:@\s]+)(?::[0-9]*)?([^?#\s]*)(\?[^#\s]*)?(?:#.*)?$"
 
 
@@ -256,16 +269,18 @@ SQL: dict[str, str] = {
     + " SELECT qid, rank, doc_id, score FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM"
     " (SELECT 1 AS qid, * FROM q1 UNION ALL SELECT 2, * FROM q2 UNION ALL SELECT 4, * FROM q4)) WHERE rank <= CASE qid WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE 6 END",
     "empty_query": "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false",
-    "result_json": INDEX + _OR + f" SELECT rank, to_json({{rank: rank, title: title, url: path, is_scholarly: false}})::VARCHAR AS json FROM {_TOP} JOIN docs USING (doc_id) WHERE rank <= {TOP_N}",
-    "sse_frames": INDEX
+    "result_json": INDEX + _OR + f" SELECT {_result(lambda n: n)} AS json",
+    "sse_frames": INDEX + _OR + f" SELECT 'event: scored' || chr(10) || 'data: ' || {_result(lambda n: n[0].upper() + n[1:])} || chr(10) || chr(10) AS frame",
+    "search_items": INDEX
     + _OR
-    + f" SELECT rank, 'event: scored' || chr(10) || 'data: ' || to_json({{rank: rank, title: title, url: path, is_scholarly: false}})::VARCHAR || chr(10) || chr(10) AS frame FROM {_TOP} JOIN docs USING (doc_id) WHERE rank <= {TOP_N}",
+    + f", best AS (SELECT * FROM {_TOP} WHERE rank <= {TOP_N}), "
+    + _SNIP.removeprefix(f"WITH {_DOCS},").replace("FROM docs", "FROM docs WHERE doc_id IN (SELECT doc_id FROM best)", 1).replace("lo AS", "lo AS", 1)
+    + f", shown AS (SELECT doc_id, {_SHOWN} AS snippet FROM l)"
+    + " SELECT rank, title, path AS url, snippet, score, content_type AS source_type, false AS is_scholarly, NULL::VARCHAR AS domain FROM best JOIN docs USING (doc_id) JOIN shown USING (doc_id)",
     "snippet_prefix": f"WITH {_DOCS} SELECT doc_id, CASE WHEN length(content) > 280 THEN left(content, 280) || '...' ELSE content END AS snippet FROM docs",
     "snippet_window": _SNIP + " SELECT doc_id, start FROM w",
     "snippet_highlight": f"WITH {_DOCS} SELECT doc_id, {_MARK.format('content')} AS marked FROM docs",
-    "snippet_text": _SNIP
-    + " SELECT doc_id, CASE WHEN start IS NULL THEN CASE WHEN n > 280 THEN left(content, 280) || '...' ELSE content END"
-    + f" ELSE CASE WHEN first_at > 0 THEN '...' ELSE '' END || {_MARK.format('substr(content, (first_at + 1)::BIGINT, (last_at - first_at)::BIGINT)')} || CASE WHEN last_at < n THEN '...' ELSE '' END END AS snippet FROM l",
+    "snippet_text": _SNIP + f" SELECT doc_id, {_SHOWN} AS snippet FROM l",
     "url_normalize": f"SELECT page_id, {_key('url')} AS key FROM crawled",
     "seed_normalize": "SELECT page_id, rtrim(CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE 'https://' || u END, '/') AS seed FROM (SELECT page_id, regexp_replace(url, '^https://', '') AS u FROM crawled)",
     "url_domain": f"SELECT page_id, replace({_host('url')}, 'www.', '') AS domain FROM crawled",
@@ -288,7 +303,7 @@ SQL: dict[str, str] = {
  e AS (SELECT url, CASE WHEN st <> '' AND st::INT NOT BETWEEN 200 AND 299 THEN 'HTTP ' || st::INT || ' Error' WHEN media <> '' AND NOT regexp_matches(lower(media), 'html|text') THEN 'Non-HTML content type: ' || media END AS error FROM s)
  SELECT url, error IS NULL AS success, error FROM e""",
     "content_type_by_ext": "SELECT page_id, ['Markdown', 'Html', 'Pdf', 'Markdown', 'Markdown', 'Html'][page_id % 6 + 1] AS content_type FROM crawled",
-    "index_url": "SELECT url AS id, url, 'Html' AS content_type FROM crawled WHERE success AND trim(coalesce(text_content, '')) <> '' ORDER BY page_id LIMIT 1",
+    "index_url": "SELECT url AS doc_id, url, 'Html' AS content_type FROM crawled WHERE success AND trim(coalesce(text_content, '')) <> '' ORDER BY page_id LIMIT 1",
     "crawl_report": "SELECT count(*) FILTER (coalesce(success, false)) AS succeeded, count(*) FILTER (NOT coalesce(success, false)) AS failed, coalesce(sum(length(text_content)), 0)::BIGINT AS content_length FROM crawled",
     "crawl_depths": f"""WITH RECURSIVE edges AS (SELECT DISTINCT src, dst FROM links WHERE {_host('src')} = {_host('dst')}),
  r(url, depth) AS (SELECT min(src), 0 FROM links WHERE {_host('src')} = '{SEED_HOST}' UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = url WHERE depth < 3)

@@ -18,9 +18,13 @@ def stem_of(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as documents (id, title, path, content_type, content); markup is not interpreted."""
+    """Whole text files as documents (doc_id, title, path, content_type, content); markup is not interpreted.
+    A path that names nothing is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
+        raise FileNotFoundError(path)
     raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
-    return raw.select(F.col("path").alias("id"), stem_of(F.col("path")).alias("title"), "path", content_type(F.col("path")).alias("content_type"), "content")
+    return raw.select(F.col("path").alias("doc_id"), stem_of(F.col("path")).alias("title"), "path", content_type(F.col("path")).alias("content_type"), "content")
 
 
 def fetch_gate(snapshot: DataFrame) -> DataFrame:
@@ -37,4 +41,4 @@ def index_url(pages: DataFrame, url: str, title: str | None = None) -> DataFrame
     """The page of ``url`` as one document, if it was fetched and has text; a given title goes first."""
     page = pages.where((F.col("url") == url) & F.col("success") & (F.trim(F.coalesce("text_content", F.lit(""))) != "")).limit(1)
     name = F.lit(title) if title is not None else F.coalesce("title", F.col("url"))
-    return page.select(F.col("url").alias("id"), name.alias("title"), "url", F.lit("Html").alias("content_type"), F.col("text_content").alias("content"))
+    return page.select(F.col("url").alias("doc_id"), name.alias("title"), "url", F.lit("Html").alias("content_type"), F.col("text_content").alias("content"))

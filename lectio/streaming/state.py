@@ -8,11 +8,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def flush_times(mutations: DataFrame, pause: str = "2 seconds", ts: str = "ts") -> DataFrame:
-    """(flush_at, mutations): a save happens ``pause`` after the last change of a burst. Works on a stream with a
-    watermark as on a table."""
-    burst = F.session_window(ts, pause)
-    return mutations.groupBy(burst).agg(F.count("*").alias("mutations")).select(F.col("session_window.end").alias("flush_at"), "mutations")
+#: Pauses in a stretch of the time line that is looked at by itself.
+STRETCH = 1800
+
+
+def flush_times(mutations: DataFrame, pause: int = 2, ts: str = "ts") -> DataFrame:
+    """(flush_at, mutations): a save happens ``pause`` seconds after the last change of a burst. A stream with a watermark
+    takes session windows. A table is cut into stretches of STRETCH pauses whose bursts are found apart; only the first and
+    the last burst of each stretch can go on beyond it, so these few are put in order at the end."""
+    if mutations.isStreaming:
+        burst = F.session_window(ts, f"{pause} seconds")
+        return mutations.groupBy(burst).agg(F.count("*").alias("mutations")).select(F.col("session_window.end").alias("flush_at"), "mutations")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = pause * 1_000_000
+    events = mutations.where(F.col(ts).isNotNull()).groupBy(at.alias("at")).agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("at") / (STRETCH * gap)))
+    inside = Window.partitionBy("stretch").orderBy("at")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(inside) >= gap, F.lit(True)).cast("int")
+    bursts = (
+        events.withColumn("fresh", fresh)
+        .withColumn("burst", F.sum("fresh").over(inside))
+        .groupBy("stretch", "burst")
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("n").alias("n"))
+        .withColumn("bursts", F.max("burst").over(Window.partitionBy("stretch")))
+    )
+    edge = (F.col("burst") == 1) | (F.col("burst") == F.col("bursts"))
+    order = Window.orderBy("first")
+    ends = bursts.where(edge).withColumn("fresh", F.coalesce(F.col("first") - F.lag("last").over(order) >= gap, F.lit(True)).cast("int"))
+    joined = ends.withColumn("g", F.sum("fresh").over(order)).groupBy("g").agg(F.max("last").alias("last"), F.sum("n").alias("n")).drop("g")
+    return bursts.where(~edge).select("last", "n").unionByName(joined).select(F.timestamp_micros(F.col("last") + gap).cast(mutations.schema[ts].dataType).alias("flush_at"), F.col("n").alias("mutations"))
 
 
 def cache_hits(lookups: DataFrame, key: str = "key", ts: str = "ts", seconds: int = 300) -> DataFrame:

@@ -83,6 +83,7 @@ def test_upsert_and_delete(spark, docs):
     changes = spark.createDataFrame([(1, 1, "old"), (1, 2, "new text"), (9, 1, "more")], "doc_id long, seq int, content string")
     got = {r.doc_id: r.content for r in index.upsert_docs(docs, changes).collect()}
     assert got == {**TEXTS, 1: "new text", 9: "more"}
+    assert {r.doc_id: r.title for r in index.upsert_docs(docs, changes.withColumn("title", F.lit("N"))).collect()}[1] == "N"
     postings = index.build_postings(docs)
     after = index.upsert_postings(postings, spark.createDataFrame([(1, "virtue")], "doc_id long, content string"))
     assert {r.term for r in after.where("doc_id = 1").collect()} == {"virtu"}
@@ -115,8 +116,95 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     store = IndexStore(spark, str(tmp_path / "store"))
     streaming.start(stream, store, str(tmp_path / "cp")).awaitTermination()
     got = {tuple(r) for r in store.load()["postings"].select("term", "doc_id", "tf").collect()}
-    want = {tuple(r) for r in index.build_postings(docs.where("doc_id != 6")).select("term", "doc_id", "tf").collect()}
-    assert got == want
+    want = {tuple(r) for r in index.build_postings(docs.where("doc_id != 6")).select("term", F.col("doc_id").cast("string"), "tf").collect()}
+    assert got == want and len(store._held()["segments"]) == 3
+    assert store.stats() == pytest.approx((len(TEXTS) - 1, index.corpus_stats(docs.where("doc_id != 6")).first().avgdl))
+    with SearchEngine.create(spark, store.path) as e:  # a stream into an engine's store, and back
+        assert e.search("law").total_matches == 3
+    changes = spark.createDataFrame([("1", "changed words", "New", "upsert", 1), ("2", None, None, "remove", 1)], "doc_id string, content string, title string, op string, seq int")
+    streaming.apply_changes(store, changes)
+    streaming.apply_changes(store, changes)
+    e = SearchEngine.create(spark, store.path)
+    assert e.search("changed").items.first().title == "New" and e.search("law").total_matches == 1 and e.numbers[0] == len(TEXTS) - 2
+    store.compact()
+    again = SearchEngine.create(spark, store.path)
+    assert again.search("law").total_matches == 1 and again.numbers == e.numbers and again.docs.count() == len(TEXTS) - 2
+
+
+def test_files_urls_and_older_indexes_are_searchable(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "essay.md").write_text("law and order")
+    e = SearchEngine.create(spark)
+    e.index_files(str(tmp_path / "f"))
+    pages = spark.createDataFrame([("https://a.example/", "A", "the order of grace", True)], "url string, title string, text_content string, success boolean")
+    assert e.index_url(pages, "https://a.example/") and not e.index_url(pages, "https://b.example/")
+    for name, text in (("index", '{"law": [{"docId": "a", "termFrequency": 2, "positions": [3, 1]}]}'), ("documents", '{"a": {"Id": "a", "Title": "T", "Url": null, "ContentType": 1, "Path": "p"}}'), ("doc_lengths", '{"a": 5}'), ("doc_contents", '{"a": "law law"}')):
+        assert not e.load_legacy(str(tmp_path))
+        (tmp_path / f"{name}.json").write_text(text)
+    assert e.load_legacy(str(tmp_path))
+    assert {r.title for r in e.search("law").items.collect()} == {"essay", "T"} and {r.title for r in e.search("order").items.collect()} == {"essay", "A"}
+    with pytest.raises(FileNotFoundError):
+        e.index_files(str(tmp_path / "none"))
+
+
+def test_one_id_twice_in_a_call_keeps_the_last(spark):
+    e = SearchEngine.create(spark)
+    e.index(spark.createDataFrame([("a", "old law"), ("a", "new law"), (None, "law")], "doc_id string, content string").coalesce(1))
+    r = e.search("law")
+    assert r.total_matches == 1 and "new" in r.items.first().snippet
+
+
+def test_ranker_of_the_engine_holds_for_many_queries(spark, docs):
+    e = SearchEngine.create(spark, k1=2.0, b=0.1)
+    e.index(docs)
+    one = [(r["rank"], r.score) for r in e.search("law OR grace", 3).items.collect()]
+    many = sorted((r["rank"], r.score) for r in e.search_many([(1, "law OR grace", 3), (2, "the", 3)]).collect())
+    assert one == many and one[0][1] != brute("law OR grace")[2]
+
+
+def test_results_are_kept_until_a_change(spark, docs):
+    e = SearchEngine.create(spark)
+    e.index(docs)
+    first = e.search(" LAW ")
+    assert e.search("law") is first
+    e.remove(docs.where("doc_id = 1"))
+    assert e.search("law").total_matches == first.total_matches - 1
+    assert e.search("zzzz").total_matches == 0 and e.search("zzzz").items.count() == 0
+    e.clear()
+    assert e.search("law").total_matches == 0
+
+
+def test_another_analyzer(spark):
+    from lectio.functions.analysis import Analyzer
+
+    whole = Analyzer(lambda c: F.filter(F.split(F.lower(c), " "), lambda t: t != ""), lambda c: c, lambda q: q.lower().split())
+    e = SearchEngine.create(spark, analyzer=whole)
+    e.index(spark.createDataFrame([("a", "the laws"), ("b", "a law")], "doc_id string, content string"))
+    assert e.search("the").total_matches == 1 and e.search("law").total_matches == 1
+
+
+def test_a_save_follows_the_last_change(spark, docs, tmp_path):
+    import time
+
+    e = SearchEngine.create(spark, str(tmp_path / "late"), save_after=0.5)
+    e.index(docs)
+    assert e.store.current() is None
+    for _ in range(100):
+        if e.store.current():
+            break
+        time.sleep(0.3)
+    assert IndexStore(spark, str(tmp_path / "late")).stats()[0] == len(TEXTS)
+
+
+def test_a_search_reads_postings_only_and_looks_texts_up_by_id(spark, docs, tmp_path):
+    with SearchEngine.create(spark, str(tmp_path / "plan")) as e:
+        e.index(docs)
+    e = SearchEngine.create(spark, str(tmp_path / "plan"))
+    ranked = search.scored(e.postings, e.lengths, e.numbers, parse("natural law"))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "/lengths" not in plan and "/docs" not in plan and plan.count("Scan parquet") == 1
+    held = e.docs.where(F.col("doc_id").isin("1", "2"))
+    assert "In(doc_id" in held._jdf.queryExecution().executedPlan().toString()
 
 
 def test_legacy_files(spark, tmp_path):
@@ -126,7 +214,7 @@ def test_legacy_files(spark, tmp_path):
     (tmp_path / "doc_lengths.json").write_text('{"a": 5}')
     (tmp_path / "doc_contents.json").write_text('{"a": "law law"}')
     t = read_legacy(spark, str(tmp_path))
-    assert t["postings"].first().positions == [1, 3] and t["docs"].first().content_type == "Markdown" and t["lengths"].first().doc_len == 5
+    assert t["postings"].first().positions == [1, 3] and t["docs"].first().content_type == "Markdown" and t["docs"].first().doc_id == "a" and t["lengths"].first().doc_len == 5
 
 
 SNIPPETS = [

@@ -160,3 +160,58 @@ def test_http(spark):
     server.shutdown()
     assert len(got) == 4 and got["/a"].title == "T" and got["/a"].text_content == "é b" and got["/a"].success
     assert got["/none"].error.startswith("HTTP 404") and got["/b.png"].error == "Non-HTML content type: image/png" and not got["nonsense"].success
+
+
+def test_links_in_any_quotes_and_all_entities(spark):
+    source = "<a href='/one'>1</a><a class=x href=/two>2</a><A HREF=\"/three?a=1&amp;b=2\">3</A><a title='>' href='/four'>4</a><p>caf&eacute; &#8212; &#x41; &amp;lt; &nosuch; a & b"
+    df = spark.createDataFrame([(1, "https://a.example/", source)], "id int, url string, html string")
+    native, any_ = html.extract(df).first(), html.extract_any(df, "id").first()
+    assert native.page_links == any_.page_links == [f"https://a.example/{x}" for x in ("one", "two", "three?a=1&b=2", "four")]
+    assert native.page_text == any_.page_text == "1 2 3 4 café — A &lt; &nosuch; a & b"
+
+
+def test_a_seed_without_scheme_is_held_to_no_domain(spark):
+    pages = spark.createDataFrame([("https://a.example", True), ("https://b.example/x", True)], "url string, success boolean")
+    links = spark.createDataFrame([("https://a.example", 0, "https://b.example/x")], "src string, ordinal int, dst string")
+    told = []
+    got = crawl.crawl(pages, links, crawl.CrawlOptions("a.example", 5, True, 2), lambda *x: told.append(x)).collect()
+    assert [r.url for r in got] == ["https://a.example", "https://b.example/x"] and told == [(0, 0, "https://a.example"), (1, 0, "https://b.example/x")]
+    assert [r.url for r in crawl.crawl(pages, links, crawl.CrawlOptions("https://a.example", 5, True, 2)).collect()] == ["https://a.example"]
+
+
+def test_crawl_report_has_a_row_a_page(spark):
+    pages = spark.createDataFrame([(1, "https://a.example", "A", "text", True, None), (2, "https://a.example/x", None, None, False, "HTTP 404 Not Found")], "page_id long, url string, title string, text_content string, success boolean, error string")
+    visited = spark.createDataFrame([(0, "https://a.example", 0, True), (1, "https://a.example/x", 1, False), (2, "https://a.example/y", 1, False)], "ord int, url string, depth int, success boolean")
+    got = [tuple(r) for r in crawl.page_report(pages, visited).orderBy("ord").collect()]
+    assert got == [(0, "https://a.example", "A", True, None, 4), (1, "https://a.example/x", None, False, "HTTP 404 Not Found", 0), (2, "https://a.example/y", None, False, None, 0)]
+
+
+def test_a_live_search_goes_on_with_fifty_hits(spark):
+    hits = spark.createDataFrame([(i, f"https://a.example/{i}", f"T{i}", "s") for i in range(70)], "pos long, url string, title string, snippet string")
+    pages = spark.createDataFrame([(i, f"https://a.example/{i}", f"T{i}", "law text", True) for i in range(70)], "page_id long, url string, title string, text_content string, success boolean")
+    from lectio.api import SearchEngine
+
+    assert SearchEngine.create(spark).live_search("law", hits, pages, 100).total_matches == 50
+
+
+def test_bursts_over_the_edges_of_stretches(spark):
+    import random
+
+    rng = random.Random(1)
+    at, rows = 0.0, []
+    for _ in range(3000):
+        at += rng.choice((0.3, 0.9, 1.9, 2.0, 40.0)) if rng.random() < 0.02 else rng.choice((0.0, 0.5, 1.5))
+        rows.append((at,))
+    want, last = [], None
+    for (t,) in rows:
+        if last is None or t - last >= 2:
+            want.append([0, 0])
+        want[-1] = [t, want[-1][1] + 1]
+        last = t
+    df = spark.createDataFrame(rows, "s double").select(F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("ts"))
+    old, state.STRETCH = state.STRETCH, 7
+    try:
+        got = sorted((round(r.s / 1e6, 3), r.mutations) for r in state.flush_times(df.repartition(4)).select(F.unix_micros("flush_at").alias("s"), "mutations").collect())
+    finally:
+        state.STRETCH = old
+    assert got == [(round(t + 2, 3), n) for t, n in want]
