@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _made: list[tuple] = []
+_registered: list[bool] = []
 
 
 def shared_dir(spark) -> str:
@@ -35,12 +36,13 @@ def _own() -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read back: computed once however many steps use it, and not
-    lost with an executor. Tables are deleted when the driver ends."""
+    lost with an executor. Tables are deleted when the driver ends, or by :func:`clear`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectio-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean)
+    if not _registered:
+        atexit.register(clear)
+        _registered.append(True)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -95,8 +97,11 @@ def components(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
             return labels
 
 
-def _clean() -> None:
-    for spark, path in _made:
+def clear() -> None:
+    """Deletes all intermediate tables: at the end of the driver, or between queries of a long session once their results
+    are written."""
+    while _made:
+        spark, path = _made.pop()
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
