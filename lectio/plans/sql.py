@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.rules import CVC, DOUBLE_SUFFIXES, DOUBLED_Y, LAST_SUFFIXES, M1, M2, NOUN_SUFFIXES, SINGLE, STOP_WORDS, VOWEL
+from ..functions.rules import DOUBLE_SUFFIXES, LAST_SUFFIXES, NOUN_SUFFIXES, STOP_WORDS
 
 AND_QUERY = "grace reason virtue"
 OR_QUERY = "grace OR reason"
@@ -28,12 +28,30 @@ def _left(n: int) -> str:
     return f"left(w, length(w) - {n})"
 
 
-def _m(pattern: str, s: str) -> str:
-    return f"regexp_matches({s}, '{pattern}')"
+def _shape(s: str) -> str:
+    """``c`` and ``v`` for each letter of ``s``; y is a vowel after a consonant."""
+    vowel = "ch IN ('a', 'e', 'i', 'o', 'u') OR (ch = 'y' AND right(acc, 1) = 'c')"
+    return f"list_reduce(string_split({s}, ''), lambda acc, ch: acc || CASE WHEN {vowel} THEN 'v' ELSE 'c' END, '')"
+
+
+def _m1(s: str) -> str:
+    return f"contains({_shape(s)}, 'cv')"
+
+
+def _m2(s: str) -> str:
+    return f"{_shape(s)} LIKE '%cv%cv%'"
+
+
+def _vowel(s: str) -> str:
+    return f"contains({_shape(s)}, 'v')"
+
+
+def _cvc(s: str) -> str:
+    return f"(ends_with({_shape(s)}, 'cvc') AND right({s}, 1) NOT IN ('w', 'x', 'y'))"
 
 
 def _table_case(table) -> str:
-    whens = " ".join(f"WHEN ends_with(w, '{s}') THEN CASE WHEN {_m(M1, _left(len(s)))} THEN {_left(len(s))} || '{to}' ELSE w END" for s, to in table)
+    whens = " ".join(f"WHEN ends_with(w, '{s}') THEN CASE WHEN {_m1(_left(len(s)))} THEN {_left(len(s))} || '{to}' ELSE w END" for s, to in table)
     return f"CASE {whens} ELSE w END"
 
 
@@ -42,25 +60,24 @@ def _last_case() -> str:
     for s in LAST_SUFFIXES:
         base = _left(len(s))
         more = f" AND (ends_with({base}, 's') OR ends_with({base}, 't'))" if s == "ion" else ""
-        out += f" WHEN ends_with(w, '{s}') AND {_m(M2, base)}{more} THEN {base}"
+        out += f" WHEN ends_with(w, '{s}') AND {_m2(base)}{more} THEN {base}"
     return f"CASE{out} ELSE w END"
 
 
-_single = ", ".join(f"'{c}'" for c in SINGLE)
 _STEPS = (
     f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_left(2)} WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') AND length(w) > 1 THEN {_left(1)} ELSE w END",
-    f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m(M1, _left(3))} THEN {_left(1)} ELSE w END"
-    f" WHEN ends_with(w, 'ed') THEN CASE WHEN {_m(VOWEL, _left(2))} THEN {_left(2)} || '|' ELSE w END"
-    f" WHEN ends_with(w, 'ing') THEN CASE WHEN {_m(VOWEL, _left(3))} THEN {_left(3)} || '|' ELSE w END ELSE w END",
+    f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m1(_left(3))} THEN {_left(1)} ELSE w END"
+    f" WHEN ends_with(w, 'ed') THEN CASE WHEN {_vowel(_left(2))} THEN {_left(2)} || '|' ELSE w END"
+    f" WHEN ends_with(w, 'ing') THEN CASE WHEN {_vowel(_left(3))} THEN {_left(3)} || '|' ELSE w END ELSE w END",
     f"CASE WHEN NOT ends_with(w, '|') THEN w WHEN regexp_matches({_left(1)}, '(at|bl|iz)$') THEN {_left(1)} || 'e'"
-    f" WHEN length(w) > 2 AND w[-2] = w[-3] AND (w[-2] NOT IN ({_single}) OR {_m(DOUBLED_Y, _left(1))}) THEN {_left(2)}"
-    f" WHEN {_m(M1, _left(1))} AND NOT {_m(M2, _left(1))} AND {_m(CVC, _left(1))} THEN {_left(1)} || 'e' ELSE {_left(1)} END",
-    f"CASE WHEN ends_with(w, 'y') AND length(w) > 1 AND {_m(VOWEL, _left(1))} THEN {_left(1)} || 'i' ELSE w END",
+    f" WHEN length(w) > 2 AND w[-2] = w[-3] AND w[-2] NOT IN ('l', 's', 'z') AND ends_with({_shape(_left(1))}, 'c') THEN {_left(2)}"
+    f" WHEN {_m1(_left(1))} AND NOT {_m2(_left(1))} AND {_cvc(_left(1))} THEN {_left(1)} || 'e' ELSE {_left(1)} END",
+    f"CASE WHEN ends_with(w, 'y') AND length(w) > 1 AND {_vowel(_left(1))} THEN {_left(1)} || 'i' ELSE w END",
     _table_case(DOUBLE_SUFFIXES),
     _table_case(NOUN_SUFFIXES),
     _last_case(),
-    f"CASE WHEN ends_with(w, 'e') AND ({_m(M2, _left(1))} OR ({_m(M1, _left(1))} AND NOT {_m(CVC, _left(1))})) THEN {_left(1)} ELSE w END",
-    f"CASE WHEN ends_with(w, 'll') AND {_m(M2, _left(1))} THEN {_left(1)} ELSE w END",
+    f"CASE WHEN ends_with(w, 'e') AND ({_m2(_left(1))} OR ({_m1(_left(1))} AND NOT {_cvc(_left(1))})) THEN {_left(1)} ELSE w END",
+    f"CASE WHEN ends_with(w, 'll') AND {_m2(_left(1))} THEN {_left(1)} ELSE w END",
 )
 
 
@@ -230,6 +247,10 @@ r AS (SELECT key, ts, i, false AS hit, ts + INTERVAL {ttl} SECOND AS until FROM
 
 _BASE_NEXT = f"lower({_part('url', 1)} || '://' || {_part('url', 2)}) || regexp_extract(CASE WHEN {_part('url', 3)} = '' THEN '/' ELSE {_part('url', 3)} END, '^(.*/)', 1) || 'next?p=2'"
 
+_EXTRACT = f"""WITH l AS (SELECT page_id, list_concat([{_BASE_NEXT}], list_transform(coalesce(out_links, []), lambda u: regexp_replace(u, '#.*$', ''))) AS ls FROM crawled),
+ g AS (SELECT page_id, len(list_filter(ls, lambda u: regexp_matches(u, '^https?://')))::INT AS links FROM l)
+ SELECT page_id, trim({_DEC(_ESC(_T))}) AS page_title, length({_TEXT})::INT AS text_length, links FROM crawled JOIN g USING (page_id)"""
+
 SQL: dict[str, str] = {
     "tokenize": INDEX + " SELECT d.doc_id, coalesce(string_agg(term, ' ' ORDER BY pos), '') AS tokens FROM docs d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id",
     "stopword_filter": f"WITH {_DOCS}, {_RAW} SELECT doc_id, array_to_string(toks, ' ') AS tokens FROM raw",
@@ -295,6 +316,8 @@ SQL: dict[str, str] = {
     "extract_links": f"""WITH l AS (SELECT page_id, url, list_concat([{_BASE_NEXT}], list_transform(coalesce(out_links, []), lambda u: regexp_replace(u, '#.*$', ''))) AS ls FROM crawled),
  e AS (SELECT page_id, unnest(ls) AS u FROM l), g AS (SELECT page_id, list(u) AS us FROM e WHERE regexp_matches(u, '^https?://') GROUP BY page_id)
  SELECT page_id, unnest(range(len(us)))::INT AS ordinal, unnest(us) AS link FROM g""",
+    "html_extract": _EXTRACT,
+    "html_extract_any": _EXTRACT,
     "robots_parse": f"WITH {_ROBOTS} SELECT host, array_to_string(allow, ' ') AS allow, array_to_string(disallow, ' ') AS disallow FROM rules",
     "robots_gate": f"WITH {_ROBOTS}, p AS (SELECT page_id, {_host('url')} AS host, regexp_replace({_host('url')}, '^www\\.', '') AS bare, {_PATH} AS path FROM crawled)"
     f" SELECT page_id, {_allowed('path', 'coalesce(allow, [])', 'coalesce(disallow, [])')} AS robots_allowed FROM p LEFT JOIN rules ON rules.host = p.bare",
