@@ -18,6 +18,10 @@ SKIPPED = ("script", "style", "noscript", "svg", "path", "iframe", "nav", "foote
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
+#: White space of any script.
+_SPACE = r"[\s\x85\p{Z}]"
+
+
 def decode(text: Column) -> Column:
     """``text`` with its entities, named and numbered, as characters, in one pass; what is no entity stays. Texts without an
     ampersand are not taken apart."""
@@ -47,7 +51,7 @@ def text(html: Column) -> Column:
     for tag in SKIPPED:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     t = F.regexp_replace(t, r"""(?s)</?[A-Za-z!](?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>""", " ")
-    return F.regexp_replace(F.regexp_replace(decode(t), r"\s{2,}", " "), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(decode(t), f"{_SPACE}{{2,}}", " "), f"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def links(html: Column, base: Column) -> Column:

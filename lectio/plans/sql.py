@@ -195,7 +195,7 @@ _T = "coalesce(title, '')"
 _DEC = lambda c: (
     f"replace(replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 )
-_TEXT = f"regexp_replace(regexp_replace({_DEC(' ' + chr(39) + ' ' + chr(39) + ' || ' + _ESC(_T) + ' || ' + chr(39) + '   ' + chr(39) + ' || replace(' + _ESC('coalesce(text_content, ' + chr(39) * 2 + ')') + ', chr(10), ' + chr(39) + ' ' + chr(39) + ' || chr(10) || ' + chr(39) + ' ' + chr(39) + ') || ' + chr(39) + '  top   mail   next  ' + chr(39) + ' || repeat(' + chr(39) + ' more  ' + chr(39) + ', len(coalesce(out_links, [])))')}, '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_TEXT = f"regexp_replace(regexp_replace({_DEC(' ' + chr(39) + ' ' + chr(39) + ' || ' + _ESC(_T) + ' || ' + chr(39) + '   ' + chr(39) + ' || replace(' + _ESC('coalesce(text_content, ' + chr(39) * 2 + ')') + ', chr(10), ' + chr(39) + ' ' + chr(39) + ' || chr(10) || ' + chr(39) + ' ' + chr(39) + ') || ' + chr(39) + '  top   mail   next  ' + chr(39) + ' || repeat(' + chr(39) + ' more  ' + chr(39) + ', len(coalesce(out_links, [])))')}, '[\\s\\x{{85}}\\p{{Z}}]{{2,}}', ' ', 'g'), '^[\\s\\x{{85}}\\p{{Z}}]+|[\\s\\x{{85}}\\p{{Z}}]+$', '', 'g')"
 
 _LIVE = f"""hits AS (SELECT page_id AS pos, url, title, text_content, success FROM crawled QUALIFY row_number() OVER (PARTITION BY {_key('url')} ORDER BY page_id) = 1),
 good AS (SELECT lower(url) AS k, min(page_id) AS pid FROM crawled WHERE success AND trim(coalesce(text_content, '')) <> '' GROUP BY 1),
