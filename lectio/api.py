@@ -204,10 +204,19 @@ class SearchEngine:
         best = search.top(ranked.observe(seen, F.count(F.lit(1)).alias("total")), top_n, skip).collect()
         if not best:
             return seen.get.get("total", 0), self.spark.createDataFrame([], ITEMS)
-        few = self.spark.createDataFrame(best, "rank int, doc_id string, score double")
         held = self.docs.where(F.col("doc_id").isin(*(r.doc_id for r in best)))
-        rows = search.items(few, held, parsed).collect()
-        return seen.get["total"], self.spark.createDataFrame(sorted(rows, key=lambda r: r["rank"]), ITEMS)
+        texts = {r.doc_id: r for r in search.shown(held, parsed).collect()}
+        rows = [texts[r.doc_id].asDict() | {"rank": r["rank"], "score": r.score} for r in best if r.doc_id in texts]
+        return seen.get["total"], self._table(rows)
+
+    def _table(self, rows: list[dict]) -> DataFrame:
+        """Items as a table that is read without a job."""
+        import pyarrow as pa
+
+        kinds = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+        columns = dict(x.split(" ") for x in ITEMS.split(", "))
+        held = pa.table({c: pa.array([r[c] for r in rows], kinds[k]) for c, k in columns.items()})
+        return self.spark.createDataFrame(held, ITEMS)
 
     def cancel(self) -> None:
         """Ends running searches of this session."""

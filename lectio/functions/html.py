@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html.entities import name2codepoint
@@ -18,23 +19,43 @@ SKIPPED = ("script", "style", "noscript", "svg", "path", "iframe", "nav", "foote
 ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
+#: The rest of a tag before its end, whose quoted values may hold one; without a way back, so linear.
+_REST = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 #: White space of any script.
 _SPACE = r"[\s\x85\p{Z}]"
 
 
+#: The entities that nearly all pages get by with; the ampersand comes last.
+_COMMON = ("lt", "gt", "quot", "#39", "nbsp", "copy", "middot", "amp")
+_OTHER = rf"&(?!(?:{'|'.join(_COMMON)});)(?:#[0-9xX]|[A-Za-z])[0-9A-Za-z]*;"
+
+
 def decode(text: Column) -> Column:
-    """``text`` with its entities, named and numbered, as characters, in one pass; what is no entity stays. Texts without an
-    ampersand are not taken apart."""
+    """``text`` with its entities, named and numbered, as characters, once; what is no entity stays. Only texts with others
+    than the common ones are taken apart."""
+    plain = text
+    for name in _COMMON:
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(ENTITIES.get(name, "'")))
+    return F.when(text.rlike(_OTHER), _decode_any(text)).otherwise(plain)
+
+
+def _decode_any(text: Column) -> Column:
     names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    common = ("amp", "lt", "gt", "quot")
 
-    def piece(p: Column, i: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+    def piece(p: Column, i: Column, name: Column) -> Column:
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("int")).when(name.startswith("#"), F.substring(name, 2, 7).cast("int"))
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(number.isNull(), names[name]).when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        return F.when(i == 0, p).when((name == "") | char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
+        known = functools.reduce(lambda out, n: out.when(name == n, F.lit(ENTITIES[n])), common[1:], F.when(name == common[0], F.lit("&"))).otherwise(names[name])
+        char = F.when(number.isNull(), known).when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        after = F.transform(F.array(char), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(c, F.substr(p, F.length(name) + 2))))[0]
+        return F.when(i == 0, p).otherwise(after)
+
+    def cut(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        return F.transform(F.array(name), lambda n: piece(p, i, n))[0]
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "&"), cut), "")
 
 
 def title(html: Column) -> Column:
@@ -50,16 +71,17 @@ def text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?is)<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>", " ")
     for tag in SKIPPED:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    t = F.regexp_replace(t, r"""(?s)</?[A-Za-z!](?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>""", " ")
+    t = F.regexp_replace(t, rf"""(?s)</?[A-Za-z!]{_REST}>|<[^>]*>""", " ")
     return F.regexp_replace(F.regexp_replace(decode(t), f"{_SPACE}{{2,}}", " "), f"^{_SPACE}+|{_SPACE}+$", "")
 
 
 def links(html: Column, base: Column) -> Column:
     """Absolute targets of all anchors in order, with repeats."""
-    anchors = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), 0)
+    anchors = F.regexp_extract_all(html, F.lit(rf"""(?i)<a\s{_REST}>"""), 0)
     value = lambda a: F.regexp_extract(a, r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
     hrefs = F.transform(anchors, lambda a: F.regexp_replace(value(a), r"""^["']|["']$""", ""))
-    return F.filter(F.transform(F.filter(hrefs, lambda h: h != ""), lambda h: urls.resolve(base, decode(h))), lambda u: u.isNotNull())
+    decoded = F.transform(F.filter(hrefs, lambda h: h != ""), decode)  # apart, as the address is looked at many times
+    return F.filter(F.transform(decoded, lambda h: urls.resolve(base, h)), lambda u: u.isNotNull())
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -99,13 +99,18 @@ def top(ranked: DataFrame, n: int = 10, skip: int = 0) -> DataFrame:
 
 def items(best: DataFrame, docs: DataFrame, query: ParsedQuery) -> DataFrame:
     """Result items of the few best documents: metadata and snippets are read for these only."""
-    joined = best.join(docs, "doc_id", "left")
-    return joined.select(
-        "rank",
+    made = shown(best.join(docs, "doc_id", "left"), query, "rank", "score")
+    return made.select("rank", "title", "url", "snippet", "score", "source_type", "is_scholarly", "domain")
+
+
+def shown(docs: DataFrame, query: ParsedQuery, *more: str) -> DataFrame:
+    """(doc_id, ``more``, and what an item shows of its document)."""
+    return docs.select(
+        "doc_id",
+        *more,
         F.coalesce("title", F.col("doc_id").cast("string")).alias("title"),
         F.coalesce("url", "path").alias("url"),
         snippet(F.coalesce("content", F.lit("")), query.terms).alias("snippet"),
-        "score",
         F.coalesce("content_type", F.lit("Markdown")).alias("source_type"),
         F.lit(False).alias("is_scholarly"),
         F.lit(None).cast("string").alias("domain"),
